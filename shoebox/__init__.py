@@ -1 +1,20 @@
 """shoebox: media library analytics as Spark jobs."""
+
+from shoebox.operators.search import more_like_this, search, search_batch
+from shoebox.operators.stats import library_stats
+from shoebox.plans.ingest import Library, ingest_file, ingest_paths, recover, sync_folder
+from shoebox.streaming.watch import watch_changes, watch_folder
+
+__all__ = [
+    "Library",
+    "ingest_file",
+    "ingest_paths",
+    "library_stats",
+    "more_like_this",
+    "recover",
+    "search",
+    "search_batch",
+    "sync_folder",
+    "watch_changes",
+    "watch_folder",
+]

@@ -20,7 +20,6 @@ VECTORS = T.StructType([
     T.StructField("id", T.LongType()),
     T.StructField("s3_path", T.StringType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
-    T.StructField("written_at", T.TimestampType()),
 ])
 
 FILES = T.StructType([
