@@ -34,7 +34,7 @@ def in_order(facts: DataFrame, content: DataFrame) -> DataFrame:
         )
     )
     turned = known.join(resumed, "path", "left").withColumn("_turn", F.coalesce("_turn", F.lit(1)))
-    return durable(
+    return (
         dense_order(turned, "_turn", "path")
         .withColumn("bits", hex_to_bits("phash"))
         .withColumn("resumes", F.col("_turn") == 0)
@@ -72,7 +72,7 @@ def decide(
         )
         kept = near_dup.keep_in_order(stored, durable(arriving), threshold, **options)
         fresh = fresh.join(kept.select("ord"), "ord", "left_semi")
-    fresh = durable(dense_order(fresh, "ord", name="id", start=last_id + 1))
+    fresh = dense_order(fresh, "ord", name="id", start=last_id + 1)
     if policy == "discard":
         index = stored.unionByName(fresh.select("bits", "ord", F.col("id").alias("content_id")))
         others = unknown.join(fresh.select("sha256_hex"), "sha256_hex", "left_anti")
