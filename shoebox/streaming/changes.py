@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.operators.exact import latest_per_path
+from shoebox.sources.storage import ControlFiles
 
 
 def drop_repeats(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -38,9 +39,7 @@ def fold_latest(feed: DataFrame, state: str, checkpoint: str, order: list[str])
             before = spark.read.schema(columns).parquet(version(batch_id - 1))
             rows = latest_per_path(rows.unionByName(before.select(*rows.columns)), order)
         rows.select(*columns.names).write.mode("overwrite").parquet(version(batch_id))
-        last[0] = batch_id
 
-    last = [-1]
     run = (
         feed.writeStream.foreachBatch(fold)
         .option("checkpointLocation", checkpoint)
@@ -48,6 +47,8 @@ def fold_latest(feed: DataFrame, state: str, checkpoint: str, order: list[str])
         .start()
     )
     run.awaitTermination()
-    if last[0] < 0:
+    # Every committed batch has left its version; a batch without rows makes none.
+    written = [n for n in ControlFiles(spark, state).names(state) if n.startswith("v=")]
+    if not written:
         return spark.createDataFrame([], columns)
-    return spark.read.schema(columns).parquet(version(last[0]))
+    return spark.read.schema(columns).parquet(f"{state}/{max(written)}")
