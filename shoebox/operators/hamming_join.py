@@ -5,11 +5,11 @@ so they agree on all bits of at least one choice of ``b - t`` blocks. Each choic
 hash is keyed once per mask by ``hash & mask`` and candidates meet by equality on (mask, key).
 More blocks mean longer keys and more copies of each row, so ``b`` follows the table size.
 
-Keys that hold many rows are split before the join, in two exact steps:
-1. the key is extended by a second family of masks (interleaved bits), which again keeps every
-   pair within ``t`` because those masks cover the whole hash on their own;
-2. what is still large is spread over a grid: one side's rows are dealt over columns and copied
-   to all rows of the grid, the other side the other way round, so every pair meets in one cell.
+Keys that hold many rows are not joined as they are. Each row with such a key is keyed anew, once,
+by longer masks of interleaved bits: those masks cover the whole hash on their own, so every pair
+within ``t`` among these rows is kept. What is still large is spread over a grid: one side's rows
+are dealt over the grid's rows and copied to all its columns, the other side the other way round,
+so every pair meets in one cell.
 
 The result is aggregated per probe row in the join's own tasks: pairs are never written out.
 """
@@ -27,7 +27,7 @@ from shoebox.functions.bits import hamming
 from shoebox.session import durable
 
 BITS = 64
-KEY = ["_mask", "_key", "_mask2", "_key2", "_cell"]
+ROWS_PER_TASK = 2_000_000
 
 
 def _signed(mask: int) -> int:
@@ -55,58 +55,61 @@ def masks(threshold: int, blocks: int, interleaved: bool = False) -> list[int]:
     ]
 
 
-def _keyed(rows: DataFrame, hash_col: str, family: list[int], mask: str, key: str) -> DataFrame:
-    keys = F.array(*[F.col(hash_col).bitwiseAND(F.lit(m)) for m in family])
-    return rows.select("*", F.posexplode(keys).alias(mask, key))
-
-
-def _unsplit(rows: DataFrame) -> DataFrame:
-    return (
-        rows.withColumn("_mask2", F.lit(-1))
-        .withColumn("_key2", F.lit(0).cast("long"))
-        .withColumn("_cell", F.lit(-1).cast("long"))
+def _keyed(rows: DataFrame, hash_col: str, family: list[int], level: int) -> DataFrame:
+    """One copy of a row per mask. The key is a hash of (level, mask number, masked bits): equal
+    parts give equal keys, so no pair is lost, and a collision only adds a candidate that the
+    distance test removes."""
+    keys = F.array(
+        *[F.xxhash64(F.lit(level), F.lit(i), F.col(hash_col).bitwiseAND(F.lit(m))) for i, m in enumerate(family)]
     )
+    return rows.select("*", F.explode(keys).alias("_key"))
 
 
-def _large(left: DataFrame, right: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    counted = left.select(*keys).unionByName(right.select(*keys)).groupBy(*keys).count()
-    return counted.where(F.col("count") > limit)
+def _large(sides: list[DataFrame], limit: int) -> DataFrame:
+    """Keys that hold more than ``limit`` rows on some side, with that count."""
+    keys = [
+        side.groupBy("_key").agg(F.count("*").alias("_rows")).where(F.col("_rows") > limit) for side in sides
+    ]
+    both = keys[0]
+    for other in keys[1:]:
+        both = both.unionByName(other).groupBy("_key").agg(F.max("_rows").alias("_rows"))
+    return both
 
 
 def _deal(rows: DataFrame, hash_col: str, probe: bool) -> DataFrame:
     """Place rows with a ``_grid`` side length on the grid; NULL means one cell."""
     side = F.coalesce("_grid", F.lit(1)).cast("long")
-    mine = F.pmod(F.xxhash64(hash_col), side)
-    other = F.explode(F.sequence(F.lit(0).cast("long"), side - 1))
-    spread = rows.withColumn("_mine", mine).withColumn("_side", side).withColumn("_other", other)
+    spread = rows.withColumn("_mine", F.pmod(F.xxhash64(hash_col), side)).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0).cast("long"), side - 1))
+    )
     row, column = ("_mine", "_other") if probe else ("_other", "_mine")
-    cell = F.col(row) * F.col("_side") + F.col(column)
-    return spread.withColumn("_cell", cell).drop("_mine", "_side", "_other", "_grid")
+    return spread.withColumn("_key", F.xxhash64("_key", row, column)).drop("_mine", "_other", "_grid")
 
 
-def _split_keys(probe, index, p_hash, i_hash, threshold, limit):
-    """Return both sides keyed so that no key holds much more than ``limit`` rows."""
-    large = durable(_large(probe, index, ["_mask", "_key"], limit).drop("count"))
+def _split_keys(probe, index, p_hash, i_hash, threshold, limit, subset):
+    """Return both keyed sides changed so that no key holds much more than ``limit`` rows."""
+    large = durable(_large([index] if subset else [index, probe], limit).select("_key"))
     if large.isEmpty():
-        return _unsplit(probe), _unsplit(index)
-    on = ["_mask", "_key"]
-    fine = masks(threshold, threshold + 3, interleaved=True)
-    plain = [_unsplit(side.join(large, on, "left_anti")) for side in (probe, index)]
-    refined = [
-        durable(_keyed(side.join(large, on, "left_semi"), h, fine, "_mask2", "_key2"))
-        for side, h in ((probe, p_hash), (index, i_hash))
+        return probe, index
+    plain = [side.join(large, "_key", "left_anti") for side in (probe, index)]
+    crowded = [
+        durable(side.join(large, "_key", "left_semi").drop("_key").distinct()) for side in (probe, index)
     ]
-    on2 = ["_mask", "_key", "_mask2", "_key2"]
+    size = max(side.count() for side in crowded)
+    # Crowded rows share many bits, which tell nothing apart: take longer masks than for others.
+    fine = masks(threshold, block_count(threshold, 64 * size), interleaved=True)
+    refined = [_keyed(side, h, fine, 2) for side, h in zip(crowded, (p_hash, i_hash))]
     grids = durable(
-        _large(*refined, on2, limit)
-        .withColumn("_grid", F.ceil(F.col("count") / F.lit(limit)))
-        .drop("count")
+        _large(refined[1:] if subset else refined, limit).select(
+            "_key", F.ceil(F.col("_rows") / F.lit(limit)).alias("_grid")
+        )
     )
-    dealt = [
-        _deal(side.join(grids, on2, "left"), h, probe=i == 0)
-        for i, (side, h) in enumerate(((refined[0], p_hash), (refined[1], i_hash)))
-    ]
-    return tuple(p.unionByName(d.select(*p.columns)) for p, d in zip(plain, dealt))
+    if not grids.isEmpty():
+        refined = [
+            _deal(side.join(grids, "_key", "left"), h, probe=i == 0)
+            for i, (side, h) in enumerate(((refined[0], p_hash), (refined[1], i_hash)))
+        ]
+    return tuple(p.unionByName(r) for p, r in zip(plain, refined))
 
 
 def candidates(
@@ -118,25 +121,33 @@ def candidates(
     rows: int | None = None,
     limit: int = settings.HOT_ROWS,
     blocks: int | None = None,
+    subset: bool = False,
 ) -> DataFrame:
     """All (probe row, index row) within ``threshold``, with ``distance``; lazily, with repeats.
 
     A pair appears once per mask on which it agrees: aggregate with min or max. Column names of
-    the two sides must differ. ``rows`` is the larger side's row count if known.
+    the two sides must differ. ``rows`` is the larger side's row count if known; ``subset`` tells
+    that every probe hash is also in the index, whose key counts then speak for both.
     """
     if not 0 <= threshold < BITS:
         raise ValueError("threshold must be between 0 and 63")
     if rows is None:
-        rows = max(probe.count(), index.count())
+        rows = index.count() if subset else max(probe.count(), index.count())
     blocks = blocks or block_count(threshold, rows)
     family = masks(threshold, min(blocks, BITS))
-    left = _keyed(probe, probe_hash, family, "_mask", "_key")
-    right = _keyed(index, index_hash, family, "_mask", "_key")
-    if 2 * rows > limit:
-        left, right = _split_keys(left, right, probe_hash, index_hash, threshold, limit)
-        keys = KEY
-    else:
-        keys = ["_mask", "_key"]
-    met = left.join(right, keys)
+    left = _keyed(probe, probe_hash, family, 1)
+    right = _keyed(index, index_hash, family, 1)
+    if rows > limit:
+        left, right = _split_keys(left, right, probe_hash, index_hash, threshold, limit, subset)
+    # By the bytes of these narrow rows alone Spark would merge the join into a few tasks, but its
+    # work is the pairs they form.
+    spark = probe.sparkSession
+    wanted = max(
+        spark.sparkContext.defaultParallelism,
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        rows * len(family) // ROWS_PER_TASK,
+    )
+    left, right = left.repartition(wanted, "_key"), right.repartition(wanted, "_key")
     distance = hamming(probe_hash, index_hash)
-    return met.where(distance <= threshold).withColumn("distance", distance).drop(*keys)
+    met = left.join(right, "_key").where(distance <= threshold)
+    return met.withColumn("distance", distance).drop("_key")

@@ -88,7 +88,7 @@ def match_earlier(
     """
     contents = durable(contents.select("id", "bits"))
     nodes = durable(contents.groupBy("bits").agg(F.min("id").alias("ord")))
-    parents = nearest_earlier(nodes, nodes, threshold, **options)
+    parents = nearest_earlier(nodes, nodes, threshold, subset=True, **options)
     # Members look up their own hash, first members the matched hash: (hash asked for, asked at).
     members = contents.join(nodes, "bits")
     own = members.where(F.col("id") > F.col("ord")).select(
@@ -166,7 +166,7 @@ def group_keep(
         )
     )
     arriving = nodes.where(F.col("stored_rep").isNull())
-    parents = durable(nearest_earlier(arriving, nodes, threshold, **options))
+    parents = durable(nearest_earlier(arriving, nodes, threshold, subset=True, **options))
     roots = chain_roots(parents)
     # The label a root hands down: a stored one its group or its own id, a fresh one its own id.
     label = F.coalesce("rep_group", "stored_rep", "ord")
@@ -238,7 +238,7 @@ def keep_in_order(
             F.col("bits").alias("_ibits"), F.col("ord").alias("_iord")
         )
         found = (
-            candidates(asking, alive, "_bits", "_ibits", threshold, **options)
+            candidates(asking, alive, "_bits", "_ibits", threshold, subset=True, **options)
             .where(F.col("_iord") < F.col("_ord"))
             .groupBy("_ord")
             .agg(F.min("_iord").alias("_found"))

@@ -24,21 +24,16 @@ def drop_repeats(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
 def fold_latest(feed: DataFrame, state: str, checkpoint: str, order: list[str]) -> DataFrame:
     """Fold a change feed into one row per path, the last change by ``order``.
 
-    Every micro-batch writes a new version of the state under its batch id, so a batch that is
-    replayed after a failure overwrites its own version and reads the one before it.
+    A micro-batch writes its own last change per path under its batch id, so its cost does not
+    grow with the state and a replay overwrites what the failed attempt left. The state is the
+    last change over all batches, one aggregate with map-side combine.
     """
     spark = feed.sparkSession
     columns = feed.schema
 
-    def version(number: int) -> str:
-        return f"{state}/v={number:012d}"
-
     def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_path(batch, order)
-        if batch_id > 0:
-            before = spark.read.schema(columns).parquet(version(batch_id - 1))
-            rows = latest_per_path(rows.unionByName(before.select(*rows.columns)), order)
-        rows.select(*columns.names).write.mode("overwrite").parquet(version(batch_id))
+        rows = latest_per_path(batch, order).select(*columns.names)
+        rows.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
     run = (
         feed.writeStream.foreachBatch(fold)
@@ -47,8 +42,7 @@ def fold_latest(feed: DataFrame, state: str, checkpoint: str, order: list[str])
         .start()
     )
     run.awaitTermination()
-    # Every committed batch has left its version; a batch without rows makes none.
-    written = [n for n in ControlFiles(spark, state).names(state) if n.startswith("v=")]
-    if not written:
+    if not ControlFiles(spark, state).is_dir(state):
         return spark.createDataFrame([], columns)
-    return spark.read.schema(columns).parquet(f"{state}/{max(written)}")
+    written = spark.read.schema(columns).parquet(f"{state}/batch=*")
+    return latest_per_path(written, order).select(*columns.names)
