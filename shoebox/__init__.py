@@ -2,7 +2,16 @@
 
 from shoebox.operators.search import more_like_this, search, search_batch
 from shoebox.operators.stats import library_stats
-from shoebox.plans.ingest import Library, ingest_file, ingest_paths, recover, sync_folder
+from shoebox.plans.ingest import (
+    Library,
+    ingest_file,
+    ingest_paths,
+    mark_missing,
+    recover,
+    search_text,
+    statistics,
+    sync_folder,
+)
 from shoebox.streaming.watch import watch_changes, watch_folder
 
 __all__ = [
@@ -10,10 +19,13 @@ __all__ = [
     "ingest_file",
     "ingest_paths",
     "library_stats",
+    "mark_missing",
     "more_like_this",
     "recover",
     "search",
     "search_batch",
+    "search_text",
+    "statistics",
     "sync_folder",
     "watch_changes",
     "watch_folder",

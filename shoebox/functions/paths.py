@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import mimetypes
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,7 +29,9 @@ def is_image_path(path) -> Column:
 
 def mime_type(path) -> Column:
     known = {**mimetypes.MimeTypes().types_map[True], **settings.MIME_TYPES}
-    table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known.items())])
+    # One literal, folded to a constant map when the query is planned.
+    pairs = ",".join(f"{ext}:{mime}" for ext, mime in sorted(known.items()))
+    table = F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":"))
     return F.coalesce(F.try_element_at(table, extension(path)), F.lit(settings.UNKNOWN_MIME))
 
 

@@ -25,10 +25,13 @@ def norm(v) -> Column:
 def l2_normalize(v) -> Column:
     """Unit vector in double; a zero vector has no direction and gives NaN, not an error."""
     v = _col(v)
-    length = norm(v)
-    return F.transform(
-        v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(float("nan")))
-    )
+
+    def scaled(length):
+        nan = F.lit(float("nan"))
+        return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(nan))
+
+    # As a lambda variable the length is computed once per row, not once per element.
+    return F.element_at(F.transform(F.array(norm(v)), scaled), 1)
 
 
 def cosine(a, b) -> Column:

@@ -20,7 +20,7 @@ Encoder = Callable[[list], np.ndarray]
 ENCODED = "vector array<float>, error string"
 
 
-def _encode_each(encode: Encoder, inputs: list) -> tuple[list, list]:
+def encode_each(encode: Encoder, inputs: list) -> tuple[list, list]:
     """Encode a batch at once; if that fails, row by row, so one bad input spoils only itself."""
     try:
         rows = np.asarray(encode(inputs), dtype=np.float32)
@@ -48,7 +48,7 @@ def encode_udf(factory: Callable[[], Encoder]):
             present = batch.notna().to_numpy()
             vectors: list = [None] * len(batch)
             errors: list = [None if p else "no input" for p in present]
-            got, failed = _encode_each(encode, [v for v, p in zip(batch, present) if p])
+            got, failed = encode_each(encode, [v for v, p in zip(batch, present) if p])
             for place, vector, error in zip(np.flatnonzero(present), got, failed):
                 vectors[place], errors[place] = vector, error
             yield pd.DataFrame({"vector": pd.Series(vectors, dtype=object), "error": pd.Series(errors, dtype=object)})

@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from shoebox import settings
 from shoebox.functions.bits import hex_to_bits
 from shoebox.functions.paths import object_key
-from shoebox.operators import exact, filters, folders, lifecycle, near_dup, parts
-from shoebox.operators.embedding import Encoder, _encode_each
+from shoebox.operators import exact, filters, folders, lifecycle, near_dup, parts, stats
+from shoebox.operators.embedding import Encoder, embed_queries, encode_each
+from shoebox.operators.search import search as vector_search
 from shoebox.plans.decide import decide
 from shoebox.session import dense_order, durable
 from shoebox.sources import facts as fact_source
@@ -193,7 +194,7 @@ def _encode_files(rows: DataFrame, factory: Callable[[], Encoder]) -> DataFrame:
                         errors.append(f"{type(problem).__name__}: {problem}")
                 vectors: list = [None] * len(group)
                 there = [i for i, p in enumerate(payloads) if p is not None]
-                got, failed = _encode_each(encode, [payloads[i] for i in there])
+                got, failed = encode_each(encode, [payloads[i] for i in there])
                 for i, vector, error in zip(there, got, failed):
                     vectors[i], errors[i] = vector, error
                 yield pa.RecordBatch.from_arrays(
@@ -375,6 +376,28 @@ def sync_folder(lib: Library, root: str, title: str | None = None, policy: str |
     )
 
 
+def search_text(
+    lib: Library,
+    query: str,
+    text_encoder: Callable[[], Encoder],
+    k: int = settings.TOP_K,
+    threshold: float | None = settings.SIMILARITY_FLOOR,
+) -> DataFrame:
+    """The k stored pictures nearest to a text, best first: ``score``, ``id``, ``s3_path``."""
+    asked = lib.spark.createDataFrame([(query,)], "text string")
+    vector = embed_queries(asked, text_encoder).first()["embedding"]
+    return vector_search(lib.table("vectors"), vector, k, threshold)
+
+
+def statistics(lib: Library) -> DataFrame:
+    """One row of library statistics with the last upload and the size of the vector index."""
+    content = lib.table("content")
+    core = stats.library_stats(content, lib.table("files"))
+    more = stats.index_stats(content, lib.table("vectors"))
+    both = core.unionByName(more, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def recover(lib: Library) -> DataFrame:
     """Finish stored contents without a vector, from their stored objects.
 

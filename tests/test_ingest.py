@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shoebox import Library, ingest_file, ingest_paths, recover, search, sync_folder
+from shoebox import Library, ingest_file, ingest_paths, mark_missing, recover, search, search_text, statistics, sync_folder
 from shoebox.operators.stats import library_stats
 from shoebox.sources import facts as fact_source
 from tests import pictures
@@ -76,6 +76,14 @@ def test_sync_is_whole_idempotent_and_incremental(lib, album):
     vector = lib.table("vectors").where("id = 3").first()["embedding"]
     assert search(lib.table("vectors"), vector).first()["id"] == 3
 
+    def text_encoder():
+        return lambda texts: np.array([vector for _ in texts])
+
+    found = search_text(lib, "the other picture", text_encoder, k=1).first()
+    assert found["id"] == 3 and found["s3_path"].startswith("library/photos/")
+    whole = statistics(lib).first()
+    assert whole["indexed"] == 3 and whole["index_bytes"] == 3 * 8 * 4 and whole["last_upload"] is not None
+
     # b.png now shows the other picture: one row per path, pointing at the known content.
     shutil.copy(album / "deep" / "other.png", album / "b.png")
     os.utime(album / "b.png", (2_000_000_000, 2_000_000_000))
@@ -84,6 +92,11 @@ def test_sync_is_whole_idempotent_and_incremental(lib, album):
     assert rows(lib.table("files").where("local_path like '%/b.png'"), "id", "content_id", "image_type") == [
         (2, 3, "DUPLICATE")]
 
+    (album / "a.png").unlink()
+    mark_missing(lib, str(album))
+    assert rows(lib.table("files").where("not present_locally"), "id") == [(1,)]
+    assert lib.table("content").count() == 3
+
 
 def test_single_file_paths_policies_and_errors(lib, album):
     base = pictures.textured(5)
