@@ -87,23 +87,31 @@ def has_files_before(
         F.col("local_path").alias("path"), F.col("content_id").alias("_old")
     )
     moves = batch.select("ord", "path", "content_id").join(old, "path", "left")
-    moved = moves.where(~F.col("content_id").eqNullSafe(F.col("_old")))
+    moved = ~F.col("content_id").eqNullSafe(F.col("_old"))
+
+    def event(content, at, delta, asked):
+        return F.struct(
+            content.alias("content_id"),
+            at.alias("_at"),
+            F.lit(delta).cast("long").alias("_delta"),
+            asked.cast("long").alias("ord"),
+        )
+
     # One content meets one turn at most twice: asking (2 * ord) comes before changing (2 * ord + 1).
-    change_at = F.col("ord") * 2 + 1
+    turn, nobody = F.col("ord") * 2, F.lit(None)
+    events = F.array(
+        event(F.col("content_id"), turn, 0, F.col("ord")),
+        F.when(moved, event(F.col("content_id"), turn + 1, 1, nobody)),
+        F.when(moved & F.col("_old").isNotNull(), event(F.col("_old"), turn + 1, -1, nobody)),
+    )
     base = (
         files.where(F.col("content_id").isNotNull())
         .groupBy("content_id")
         .agg(F.count("*").alias("_delta"))
         .select("content_id", F.lit(-1).cast("long").alias("_at"), "_delta")
     )
-    leaving = moved.where(F.col("_old").isNotNull()).select(
-        F.col("_old").alias("content_id"), change_at.alias("_at"), F.lit(-1).cast("long").alias("_delta")
-    )
-    coming = moved.select("content_id", change_at.alias("_at"), F.lit(1).cast("long").alias("_delta"))
-    asking = batch.select(
-        "content_id", (F.col("ord") * 2).alias("_at"), F.lit(0).cast("long").alias("_delta"), "ord"
-    )
-    timeline = base.unionByName(leaving).unionByName(coming).unionByName(asking, allowMissingColumns=True)
+    # An inline struct array keeps this one pass over the batch, whatever number of rows it yields.
+    timeline = moves.select(F.inline(F.array_compact(events))).unionByName(base, allowMissingColumns=True)
     counted = sum_before(timeline, "content_id", "_at", "_delta", "_files", 2 * rows_per_chunk)
     return counted.where(F.col("ord").isNotNull()).select("ord", (F.col("_files") > 0).alias("has_files"))
 

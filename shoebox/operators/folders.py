@@ -82,8 +82,9 @@ def register_folders(folders: DataFrame, wanted: DataFrame, now: Column) -> Data
 
 def with_orphan_folder(folders: DataFrame, now: Column) -> DataFrame:
     """Add the folder that owns files outside all synced folders, if it is not there yet."""
-    spark = folders.sparkSession
-    wanted = spark.createDataFrame(
+    if not folders.where(F.col("parent_folder_path") == settings.ORPHAN_PATH).isEmpty():
+        return folders
+    wanted = folders.sparkSession.createDataFrame(
         [(settings.ORPHAN_PATH, settings.ORPHAN_TITLE)], "path string, title string"
     )
     return register_folders(folders, wanted, now)

@@ -112,13 +112,11 @@ def match_earlier(
 def chain_roots(parents: DataFrame) -> DataFrame:
     """Follow ``ord`` -> ``parent`` links to the end of each chain by pointer doubling.
 
-    Rows whose pointer already rests on a root leave the loop; the rest halve their way each
-    round, so a chain of length n takes about log4(n) rounds of one durable table each.
+    ``parents`` is a durable table. Rows whose pointer already rests on a root leave the loop; the
+    rest shorten their way each round, so a chain of length n takes about log3(n) rounds.
     """
-    links = durable(
-        parents.select("ord", F.col("parent").alias("root"), F.lit(True).alias("moving"))
-    )
-    while True:
+    links = parents.select("ord", F.col("parent").alias("root"), F.lit(True).alias("moving"))
+    while not links.where("moving").isEmpty():
         moving = links.where("moving")
         first = links.select(F.col("ord").alias("_o1"), F.col("root").alias("_r1"))
         second = links.select(F.col("ord").alias("_o2"), F.col("root").alias("_r2"))
@@ -132,8 +130,7 @@ def chain_roots(parents: DataFrame) -> DataFrame:
             )
         )
         links = durable(links.where("not moving").unionByName(hopped))
-        if links.where("moving").isEmpty():
-            return links.select("ord", "root")
+    return links.select("ord", "root")
 
 
 def group_keep(
@@ -230,6 +227,7 @@ def keep_in_order(
     first_fresh = fresh.agg(F.min("ord")).first()[0]
     if first_fresh is None:
         return fresh.select("bits", "ord")
+    options = {"rows": state.count(), **options}
     while True:
         asking = state.where("state = 'ask'").select(
             F.col("bits").alias("_bits"), F.col("ord").alias("_ord")

@@ -216,13 +216,16 @@ def _encode_files(rows: DataFrame, factory: Callable[[], Encoder]) -> DataFrame:
 def embed_contents(lib: Library, sources: DataFrame, force: bool = False) -> DataFrame:
     """Embed contents that need it, from ``sources`` (``id``, ``path``, ``file_size``): one file
     or object each. Commits vectors and status together; returns ``id``, ``error`` of what was tried."""
+    nothing = lib.spark.createDataFrame([], "id long, error string")
+    if lib.encoder is None:
+        return nothing
     content, vectors = lib.table("content"), lib.table("vectors")
     has = vectors.select("id", F.lit(True).alias("embedding"))
     state = content.select("id", "status", "s3_path").join(has, "id", "left")
     todo = durable(sources.join(state.where(filters.is_stored() | (F.col("status") == "ERROR"))
                                 .where(filters.needs_embedding(force=force)), "id"))
-    if lib.encoder is None or todo.isEmpty():
-        return lib.spark.createDataFrame([], "id long, error string")
+    if todo.isEmpty():
+        return nothing
     # The rows under work are on record first: a run that dies here leaves INDEXING behind.
     lib.catalog.commit(
         replace={"content": _update(content, todo.select("id", F.lit("INDEXING").alias("status")))}
@@ -260,7 +263,8 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
         F.lit(None).cast("int").alias("near_dup_distance"), F.lit("UPLOADING").alias("status"),
     )
     reopened = wanted.where("not is_new").select("id", F.lit("UPLOADING").alias("status"))
-    if not wanted.isEmpty():
+    counts = wanted.agg(F.count("*").alias("all"), F.count_if("is_new").alias("new")).first()
+    if counts["all"]:
         content_open = _update(content, reopened).unionByName(opened)
         catalog.commit(replace={"content": content_open})
         content = lib.table("content")
@@ -274,7 +278,7 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
         "id", F.col("file_size").alias("uploaded_bytes"), _now().alias("uploaded_at"), F.lit("UPLOADED").alias("status")
     )
     updated = _update(content, uploaded)
-    if policy == "keep":
+    if policy == "keep" and counts["new"]:
         fresh = wanted.where("is_new").join(good_ids, "id", "left_semi").select("id", "bits")
         arriving = fresh.select("id")
         held = updated.where(filters.is_stored()).join(arriving, "id", "left_anti").select(
