@@ -4,24 +4,54 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shoebox.llm import packing, token_files
-from shoebox.llm.spark import table
+from shoebox.llm import kneser_ney, langid, packing, quality_rules, simhash, token_files
+from shoebox.llm.spark import crc_fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score all documents by a model learned from nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 10) == 0).alias("held_out"))
+    return kneser_ney.score(docs, kneser_ney.fit(docs.where(~F.col("held_out"))))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as Simple-8b token files in id order and read the files back."""
     files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
     return token_files.read(spark, files)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measure all documents and judge them by the thresholds of their language and source."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predict the language of all documents by profiles learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_fold("doc_id", 4) == 2).alias("held_out"))
+    profiles = langid.fit(docs.where(~F.col("held_out")))
+    return langid.predict(docs.drop("lang"), profiles).drop("text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack all documents into sequences of at most 1024 tokens."""
     cut = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2, capacity=1024)
     return packing.pack(cut, 1024)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_files, op6_best_fit_packing)}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of links of at most three bits."""
+    found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_kneser_ney, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing, op10_simhash,
+    )
+}
 SQL: dict[str, str] = {}
