@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import kneser_ney, langid, packing, quality_rules, simhash, token_files
+from shoebox.llm import decontam, kneser_ney, langid, packing, quality_rules, simhash, site_quality, token_files, toxicity
 from shoebox.llm.spark import crc_fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,6 +18,16 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score(docs, kneser_ney.fit(docs.where(~F.col("held_out"))))
 
 
+def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, sources as hosts and languages as their paths; a fifth of the labels is never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    learned = F.when(crc_fold("doc_id", 5) != 0, F.col("quality"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", learned.alias("label")).where("label is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
+    rows = docs.join(labels, "doc_id", "left")
+    return site_quality.score(rows, site_quality.fit(rows.select("text", F.col("label").alias("quality"))))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents as Simple-8b token files in id order and read the files back."""
     files = token_files.write(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
@@ -42,6 +52,26 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in each of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.col("leaks.item_id").alias("item_ids"),
+        F.coalesce(F.array_max("leaks.share"), F.lit(0.0)).alias("share"),
+    )
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents by nearest labelled examples from two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 3) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    index = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    found = toxicity.score(docs, index)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and the components of links of at most three bits."""
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, distance=3)
@@ -51,7 +81,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_kneser_ney, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing, op10_simhash,
+        op1_kneser_ney, op2_site_quality, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing,
+        op8_decontamination, op9_toxicity, op10_simhash,
     )
 }
 SQL: dict[str, str] = {}
