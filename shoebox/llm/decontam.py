@@ -1,15 +1,17 @@
 """Benchmark decontamination by latent semantic retrieval, then word-sequence and answer checks.
 
-Terms are the words of the benchmark items; other words cannot add to a cosine with an item. Three passes of tasks
+Terms are the words of the benchmark items that stand in at most ``MAX_DF`` of all documents, and the ``RAREST`` words of every
+item in any case; other words cannot add to a cosine with an item. Three passes of tasks
 over the whole corpus, none of which shuffles texts:
 
 1. document frequencies of the terms;
 2. the range of a randomised SVD of the TF-IDF matrix of all passages (disjoint windows of ``PASSAGE`` words): each
    task adds its passages' part of Y = A'A R for a random R; sums of Y give A'A by Nystrom's formula in one pass.
    The items' own rows join the corpus part in a small SVD, so that the latent space holds both;
-3. every window of ``PASSAGE`` words, a new one each ``STRIDE`` words, is folded in; a cosine of ``CANDIDATE`` or more with an item
-   makes a candidate, of which the longest common subsequence of words, in the window widened by the item's length, decides:
-   a leak has ``SURE`` of the item's words, or ``LIKELY`` of them and ``ANSWER`` of the item's answer, its last sentence.
+3. every window of ``PASSAGE`` words (of half as many for items up to that length), a new one each ``STRIDE`` words, is folded
+   in; a cosine of ``CANDIDATE`` or more with an item makes a candidate. Around it, runs of one and a half times the item's
+   length are compared by the longest common subsequence of words: a leak has ``SURE`` of the item's words, or ``LIKELY`` of
+   them and ``ANSWER`` of the item's answer, its last sentence.
 
 What the driver and the tasks hold follows the benchmark's block of ``ITEMS`` items, not the corpus; larger benchmarks go block by block.
 
@@ -33,14 +35,16 @@ from pyspark.sql import types as T
 from shoebox.llm import text
 
 PASSAGE = 48
-STRIDE = 16
+STRIDE = 8
+MAX_DF = 0.1
+RAREST = 8
 SKETCH = 64
 RANK = 192
 ITEMS = 1000
 CANDIDATE = 0.4
 SURE = 0.8
-LIKELY = 0.55
-ANSWER = 0.6
+LIKELY = 0.6
+ANSWER = 0.75
 CHUNK = 2048  # terms of a partial sum
 LEAKS = "array<struct<item_id: bigint, share: double, answer: double>>"
 
@@ -172,10 +176,16 @@ def space(docs: DataFrame, items: list[Item]) -> Space | None:
         return None
     terms = np.unique(np.array([w for i in items for w in i.words], np.uint64))
     df, n = _frequencies(docs, terms)
+    kept = df <= MAX_DF * n
+    for item in items:
+        own = _terms(np.unique(np.array(item.words, np.uint64)), terms)
+        kept[own[np.argsort(df[own], kind="stable")[:RAREST]]] = True
+    terms, df = terms[kept], df[kept]
     idf = np.log((n + 1) / (df + 1)) + 0.1
     rows = np.zeros((len(items), len(terms)))
     for k, item in enumerate(items):
-        np.add.at(rows[k], _terms(np.array(item.words, np.uint64), terms), 1)
+        own = _terms(np.array(item.words, np.uint64), terms)
+        np.add.at(rows[k], own[own >= 0], 1)
     rows *= idf
     sketch = np.random.default_rng(text.SEED).standard_normal((len(terms), min(SKETCH, len(terms))))
     y = _range(docs, terms, idf, sketch)
@@ -193,19 +203,30 @@ def space(docs: DataFrame, items: list[Item]) -> Space | None:
     return Space(terms, idf, (idf[:, None] * basis).astype(np.float32), folded.astype(np.float32), items)
 
 
-def _windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _windows(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Document and first word (in its document) of every window."""
-    many = np.where(counts > 0, np.maximum(-(-(counts - PASSAGE) // STRIDE), 0) + 1, 0)
+    many = np.where(counts > 0, np.maximum(-(-(counts - size) // STRIDE), 0) + 1, 0)
     return np.repeat(np.arange(len(counts)), many), text.spread(many) * STRIDE
 
 
+def compared(item: Item, region: list[int]) -> tuple[float, float]:
+    """Best share of the item's words in a run of the region, and of its answer there."""
+    n = len(item.words)
+    run = n + n // 2
+    best = (0.0, 0.0)
+    if len(set(item.words).intersection(region)) < LIKELY * len(set(item.words)):  # no subsequence has more kinds of words
+        return best
+    for a in range(0, max(len(region) - run, 0) + 1, max(n // 4, 1)):
+        near = region[a : a + run + n // 4]
+        best = max(best, (common(item.words, near) / n, common(item.answer, near) / len(item.answer)))
+    return best
+
+
 def _leaks(part: text.Slice, at: Space) -> list[dict[int, tuple[float, float]]]:
     """For each document, the items it leaks with the best shares."""
     docs = part.last - part.first
     out: list[dict] = [{} for _ in range(docs)]
     hashes, doc = _hashes(part.raw, part.bounds)
-    if not len(hashes):
-        return out
     counts = np.bincount(doc, minlength=docs)
     first = np.cumsum(counts) - counts
     # Sums of folded words over strides, then over the strides of a window.
@@ -219,27 +240,35 @@ def _leaks(part: text.Slice, at: Space) -> list[dict[int, tuple[float, float]]]:
     begins = np.flatnonzero(np.append(True, stride_of[1:] != stride_of[:-1]))
     sums = np.zeros((len(opens), at.basis.shape[1]), np.float32)
     sums[stride_of[begins]] = np.add.reduceat(at.basis[term[has]], begins, axis=0)
-    owner, start = _windows(counts)
-    head = np.searchsorted(opens, first[owner] + start)
-    folded = np.zeros((len(owner), sums.shape[1]), np.float32)
-    for k in range(PASSAGE // STRIDE):
-        inside = start + k * STRIDE < counts[owner]
-        folded[inside] += sums[head[inside] + k]
-    length = np.linalg.norm(folded, axis=1)
-    near = folded @ at.folded.T >= CANDIDATE * np.maximum(length, 1e-9)[:, None]
-    for w, k in zip(*(x.tolist() for x in np.nonzero(near & (length > 0)[:, None])), strict=True):
-        item = at.items[k]
-        n = len(item.words)
-        a = first[owner[w]] + max(start[w] - n, 0)
-        b = first[owner[w]] + min(start[w] + PASSAGE + n, counts[owner[w]])
-        region = hashes[a:b].tolist()
-        share = common(item.words, region) / n
-        if share < LIKELY:
+    short = np.array([len(i.words) <= PASSAGE // 2 for i in at.items])
+    for size, mine in ((PASSAGE // 2, np.flatnonzero(short)), (PASSAGE, np.flatnonzero(~short))):
+        if not len(mine):
             continue
-        answer = common(item.answer, region) / len(item.answer)
-        if share >= SURE or answer >= ANSWER:
-            held = out[owner[w]].get(k, (0.0, 0.0))
-            out[owner[w]][k] = max(held, (share, answer))
+        owner, start = _windows(counts, size)
+        head = np.searchsorted(opens, first[owner] + start)
+        folded = np.zeros((len(owner), sums.shape[1]), np.float32)
+        for k in range(size // STRIDE):
+            inside = start + k * STRIDE < counts[owner]
+            folded[inside] += sums[head[inside] + k]
+        length = np.linalg.norm(folded, axis=1)
+        some = np.flatnonzero(length > 0)
+        folded, length, owner, start = folded[some], length[some], owner[some], start[some]
+        near = folded @ at.folded[mine].T >= CANDIDATE * length[:, None]
+        # Neighbouring candidate windows of one item are one region.
+        k, w = np.nonzero(near.T)
+        fresh = np.append(True, (k[1:] != k[:-1]) | (owner[w[1:]] != owner[w[:-1]]) | (start[w[1:]] > start[w[:-1]] + size)) if len(k) else k
+        begin = np.flatnonzero(fresh)
+        last = np.append(begin[1:], len(k)) - 1
+        for item_at, doc_at, low, high in zip(
+            mine[k[begin]].tolist(), owner[w[begin]].tolist(), start[w[begin]].tolist(), start[w[last]].tolist(), strict=True
+        ):
+            item = at.items[item_at]
+            n = len(item.words)
+            a = first[doc_at] + max(low - n, 0)
+            b = first[doc_at] + min(high + size + n, counts[doc_at])
+            share, answer = compared(item, hashes[a:b].tolist())
+            if share >= SURE or (share >= LIKELY and answer >= ANSWER):
+                out[doc_at][item_at] = max(out[doc_at].get(item_at, (0.0, 0.0)), (share, answer))
     return out
 
 
