@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import text
+from shoebox.llm.blobs import BLOBS, dealt, pack, unpack
 from shoebox.llm.spark import HOT_SHARE, fresh_folder, open_folder
 from shoebox.session import durable
 
 START = np.uint64(1)  # no word: words are hashes of at least one byte
 END = np.uint64(2)
 HELD = 2_000_000  # distinct bigrams a counting task holds before it hands them on
-BLOBS = "shard int, blob binary"
 
 
 class Model(NamedTuple):
@@ -87,24 +87,6 @@ def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed blob."""
-    sink = pa.BufferOutputStream()
-    with pa.CompressedOutputStream(sink, "zstd") as out:
-        for a in arrays:
-            out.write(np.array([len(a)], np.int64).tobytes() + a.tobytes())
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    with pa.CompressedInputStream(pa.BufferReader(blob), "zstd") as source:
-        out = []
-        for kind in kinds:
-            n = int(np.frombuffer(source.read(8), np.int64)[0])
-            out.append(np.frombuffer(source.read(n * np.dtype(kind).itemsize), kind))
-        return out
-
-
 def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, a place of each, and the sum of its counts."""
     order = np.argsort(key, kind="stable")
@@ -113,16 +95,6 @@ def _summed(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ordered[first], order[first], np.add.reduceat(count[order], first) if len(key) else count
 
 
-def _dealt(shard: np.ndarray, shards: int, *columns: np.ndarray) -> pa.RecordBatch:
-    """One blob per shard."""
-    order = np.argsort(shard, kind="stable")
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    rows = [(s, _pack(*(c[order[cut[s] : cut[s + 1]]] for c in columns))) for s in range(shards) if cut[s] < cut[s + 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"]
-    )
-
-
 def _words(docs: DataFrame, shards: int) -> DataFrame:
     """Blobs of (word, count) by shard."""
 
@@ -141,10 +113,10 @@ def _words(docs: DataFrame, shards: int) -> DataFrame:
                 if sum(map(len, keys)) > 2 * HELD:
                     flush()
                     if len(keys[0]) > HELD:
-                        yield _dealt(_shard(keys[0], shards), shards, keys.pop(), counts.pop())
+                        yield dealt(_shard(keys[0], shards), shards, keys.pop(), counts.pop())
         if keys:
             flush()
-            yield _dealt(_shard(keys[0], shards), shards, keys[0], counts[0])
+            yield dealt(_shard(keys[0], shards), shards, keys[0], counts[0])
 
     return docs.select("text").mapInArrow(task, BLOBS)
 
@@ -160,11 +132,11 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
             _, at, total = _summed(_pair(before, word), count)
             return before[at], word[at], total
 
-        def dealt(before, word, count):
+        def out(before, word, count):
             order = np.argsort(before, kind="stable")
             before, word, count = before[order], word[order], count[order].astype(np.uint32)
             shard = _pair_shard(before, _pair(before, word), hot, shards)
-            return _dealt(shard, shards, before, word, count)
+            return dealt(shard, shards, before, word, count)
 
         for batch in batches:
             for part in text.slices(batch):
@@ -174,9 +146,9 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 if sum(len(x[0]) for x in held) > 2 * HELD:
                     held = [merged()]
                     if len(held[0][0]) > HELD:
-                        yield dealt(*held.pop())
+                        yield out(*held.pop())
         if held:
-            yield dealt(*merged())
+            yield out(*merged())
 
     return docs.select("text").mapInArrow(task, BLOBS)
 
@@ -204,16 +176,16 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
     sums = "tokens long, types long, n1 long, n2 long, n3 long, n4 long, m1 long, m2 long, m3 long, total long"
 
     def add_words(table: pa.Table) -> pa.Table:
-        parts = [_unpack(b, np.uint64, np.int64) for b in table.column("blob").to_pylist()]
+        parts = [unpack(b, np.uint64, np.int64) for b in table.column("blob").to_pylist()]
         key, _, count = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-        return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([_pack(key, count)], pa.binary())})
+        return pa.table({"shard": table.column("shard").slice(0, 1), "blob": pa.array([pack(key, count)], pa.binary())})
 
     words = durable(_words(docs, shards).groupBy("shard").applyInArrow(add_words, BLOBS))
 
     def sizes(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                count = _unpack(blob, np.uint64, np.int64)[1]
+                count = unpack(blob, np.uint64, np.int64)[1]
                 yield pa.RecordBatch.from_pydict({"tokens": [int(count.sum())], "types": [len(count)]})
 
     found = words.mapInArrow(sizes, "tokens long, types long").agg(F.sum("tokens"), F.sum("types")).first()
@@ -222,7 +194,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
     def hot_words(batches):
         for batch in batches:
             for blob in batch.column("blob").to_pylist():
-                key, count = _unpack(blob, np.uint64, np.int64)
+                key, count = unpack(blob, np.uint64, np.int64)
                 yield pa.RecordBatch.from_pydict({"word": key[count * HOT_SHARE > n_tokens].view(np.int64)})
 
     hot = np.array([r[0] for r in words.mapInArrow(hot_words, "word long").collect()], np.int64).view(np.uint64)
@@ -230,7 +202,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
 
     def add_bigrams(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        parts = [_unpack(b, np.uint64, np.uint64, np.uint32) for b in table.column("blob").to_pylist()]
+        parts = [unpack(b, np.uint64, np.uint64, np.uint32) for b in table.column("blob").to_pylist()]
         before, word, count = (np.concatenate(x) for x in zip(*parts, strict=True))
         key, at, total = _summed(_pair(before, word), count.astype(np.int64))
         before, word = before[at], word[at]
@@ -245,7 +217,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
         _save(folder, f"context-{shard}", context[cold])
         _save(folder, f"mass-{shard}", np.column_stack([size, kinds])[cold].ravel())
         later, before_it = np.unique(word, return_counts=True)
-        blobs = _dealt(_shard(later, shards), shards, later, before_it)
+        blobs = dealt(_shard(later, shards), shards, later, before_it)
         n = blobs.num_rows
         # Rows of kind 0: continuation counts by shard; 1: counts of counts; 2: a hot context's mass.
         warm = np.flatnonzero(~cold)
@@ -275,7 +247,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
 
     def add_lower(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [_unpack(r["blob"], np.uint64, np.int64) for r in rows]
+        parts = [unpack(r["blob"], np.uint64, np.int64) for r in rows]
         word = np.concatenate([p[0] for p in parts])
         raw = np.concatenate([p[1] if r["raw"] else np.zeros_like(p[1]) for p, r in zip(parts, rows, strict=True)])
         distinct = np.concatenate([np.zeros_like(p[1]) if r["raw"] else p[1] for p, r in zip(parts, rows, strict=True)])

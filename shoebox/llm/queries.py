@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import decontam, kneser_ney, langid, packing, quality_rules, simhash, site_quality, token_files, toxicity
+from shoebox.llm import decontam, kneser_ney, langid, packing, quality_rules, simhash, site_quality, suffix_dedup, token_files, toxicity
 from shoebox.llm.spark import crc_fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, 1024)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 50-byte strings of earlier documents leave of each of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.with_spans(docs, suffix_dedup.spans(docs)))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in each of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -82,7 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_site_quality, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing,
-        op8_decontamination, op9_toxicity, op10_simhash,
+        op7_suffix_dedup, op8_decontamination, op9_toxicity, op10_simhash,
     )
 }
 SQL: dict[str, str] = {}
