@@ -21,11 +21,8 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents, sources as hosts and languages as their paths; a fifth of the labels is never learned from."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
-    learned = F.when(crc_fold("doc_id", 5) != 0, F.col("quality"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", learned.alias("label")).where("label is not null")
-    labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = docs.join(labels, "doc_id", "left")
-    return site_quality.score(rows, site_quality.fit(rows.select("text", F.col("label").alias("quality"))))
+    labels = table(spark, sf_dir, "labels").where(crc_fold("doc_id", 5) != 0)
+    return site_quality.score(docs, labels, site_quality.fit(docs, labels))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +68,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents by nearest labelled examples from two thirds of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_fold("doc_id", 3) == 1).alias("held_out"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    index = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    index = toxicity.fit(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     found = toxicity.score(docs, index)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
 

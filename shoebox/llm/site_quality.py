@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import text
-from shoebox.llm.spark import lookup
+from shoebox.llm.spark import labelled_sample, lookup
 from shoebox.session import durable
 
 EXAMPLES = 20_000
@@ -99,10 +99,9 @@ def _expanded(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(z)), z, z * z, z[:, 1:] * z[:, :1]])
 
 
-def fit(examples: DataFrame, limit: int = EXAMPLES) -> Classifier:
-    """Classifier from rows of (text, quality), at most ``limit`` of them."""
-    known = examples.where(F.col("quality").isin(0, 1)).select("text", F.col("quality").cast("int"))
-    sample = known.withColumn("_order", F.xxhash64("text")).orderBy("_order", "quality").limit(limit).drop("_order")
+def fit(docs: DataFrame, labels: DataFrame, limit: int = EXAMPLES) -> Classifier:
+    """Classifier from at most ``limit`` documents (doc_id, text) that have a label (doc_id, quality)."""
+    sample = labelled_sample(docs, labels, "quality", limit)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +176,12 @@ def posteriors(counted: DataFrame) -> DataFrame:
     return durable(sites.withColumn("strength", F.lit(k_path)))
 
 
-def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """doc_id, p, host_rate, path_rate, score and kept for rows of (doc_id, text, host, path, label), label null if not to be learned."""
-    rows = durable(probabilities(docs.select("doc_id", "text", "host", "path", F.col("label").cast("double")), classifier))
-    rows = rows.withColumn("hit", F.coalesce("label", "p")).withColumn("site", F.struct("host", "path"))
+def score(docs: DataFrame, labels: DataFrame, classifier: Classifier) -> DataFrame:
+    """doc_id, p, host_rate, path_rate, score and kept for rows of (doc_id, text, host, path) and the labels that count."""
+    rows = durable(probabilities(docs.select(F.col("doc_id").cast("long"), "text", "host", "path"), classifier))
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.join(known.agg(F.max("quality").cast("double").alias("label")), "doc_id", "left")
+    rows = durable(rows).withColumn("hit", F.coalesce("label", "p")).withColumn("site", F.struct("host", "path"))
     sites = posteriors(rows).select(
         F.struct("host", "path").alias("site"), "rows", F.col("rows").alias("site_rows"), "hits", "host_rate", "strength"
     )

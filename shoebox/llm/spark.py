@@ -8,7 +8,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.session import shared_dir
+from shoebox.session import durable, shared_dir
 
 HOT_SHARE = 1024
 
@@ -47,3 +47,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
     few = F.broadcast(right.where(hot).drop(rows))
     rest = left.join(few.select(key), key, "left_anti").join(right.where(~hot).drop(rows), key)
     return left.join(few, key).unionByName(rest)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows of (doc_id, text, label), those with the least hash of the id, one per id.
+
+    Ids are chosen first, from short rows; the chosen ones are broadcast (``limit`` bounds them), so no text is shuffled.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("long"), F.col(label).cast("int"))
+    known = known.groupBy("doc_id").agg(F.max(label).alias(label)).join(docs.select(F.col("doc_id").cast("long")), "doc_id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    return durable(rows.dropDuplicates(["doc_id"]))
