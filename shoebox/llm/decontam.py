@@ -28,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,8 @@ CANDIDATE = 0.4
 SURE = 0.8
 LIKELY = 0.6
 ANSWER = 0.75
-CHUNK = 2048  # terms of a partial sum
+CHUNK = 256  # terms of a partial sum
+FAN_IN = 64  # groups that partial sums are added in first
 LEAKS = "array<struct<item_id: bigint, share: double, answer: double>>"
 
 
@@ -129,7 +131,6 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
 def _range(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """Y = A'A R over all passages of the corpus."""
     weighted = (idf[:, None] * sketch).astype(np.float32)
-    names = ["chunk", "part"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(terms), sketch.shape[1]))
@@ -152,16 +153,19 @@ def _range(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, sketch: np.ndarr
                 order = np.argsort(at, kind="stable")
                 cut = np.flatnonzero(np.append(True, at[order][1:] != at[order][:-1]))
                 total[at[order][cut]] += np.add.reduceat(folded[owner[order]], cut, axis=0)
+        turn = TaskContext.get().partitionId() % FAN_IN
         for k in range(0, len(terms), CHUNK):
-            yield pa.RecordBatch.from_pydict({"chunk": [k], "part": [total[k : k + CHUNK].tobytes()]})
+            yield pa.RecordBatch.from_pydict({"chunk": [k], "turn": [turn], "part": [total[k : k + CHUNK].tobytes()]})
 
     def add(table: pa.Table) -> pa.Table:
         parts = sorted(table.column("part").to_pylist())
         total = np.sum([np.frombuffer(p) for p in parts], axis=0)
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())}).select(names)
+        first = table.slice(0, 1)
+        return first.set_column(first.schema.get_field_index("part"), "part", pa.array([total.tobytes()], pa.binary()))
 
-    schema = "chunk long, part binary"
-    rows = docs.select("text").mapInArrow(task, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    schema = "chunk long, turn long, part binary"
+    parts = docs.select("text").mapInArrow(task, schema).groupBy("chunk", "turn").applyInArrow(add, schema)
+    rows = parts.groupBy("chunk").applyInArrow(add, schema).collect()
     out = np.zeros((len(terms), sketch.shape[1]))
     for r in rows:
         block = np.frombuffer(r["part"]).reshape(-1, sketch.shape[1])

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoebox.llm import text
 from shoebox.llm.spark import lookup
@@ -63,21 +64,21 @@ def _fingerprints(part: text.Slice, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(rows: DataFrame, shingle: int, name: str = "fp") -> DataFrame:
-    """The rows with the fingerprint of ``text`` as a signed long; the text column is left out."""
+def fingerprints(rows: DataFrame, shingle: int, keep_text: bool = False) -> DataFrame:
+    """The rows with the fingerprint of ``text`` as a signed long in ``fp``; the text goes unless it is to be kept."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_fingerprints(part, shingle) for part in text.slices(batch)]
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            kept = [k for k, c in enumerate(batch.schema.names) if c != "text"]
+            kept = [k for k, c in enumerate(batch.schema.names) if keep_text or c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in kept), pa.array(values.view(np.int64))],
-                names=[*(batch.schema.names[k] for k in kept), name],
+                names=[*(batch.schema.names[k] for k in kept), "fp"],
             )
 
-    schema = rows.drop("text").schema.add(name, "long")
-    return rows.mapInArrow(task, schema)
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    return rows.mapInArrow(task, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def _segment(value: Column, k: int) -> Column:
@@ -135,8 +136,8 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def classes(rows: DataFrame, shingle: int, distance: int) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row with doc_id and text."""
+def classes(rows: DataFrame, shingle: int, distance: int, root: str | None = None) -> DataFrame:
+    """doc_id, fp (signed long) and component_id of every row with doc_id and text; the component's root fingerprint as ``root``."""
     marked = durable(fingerprints(rows.select(F.col("doc_id").cast("long"), "text"), shingle))
     values = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(values.select("fp"), distance)).withColumnRenamed("node", "fp")
@@ -144,8 +145,9 @@ def classes(rows: DataFrame, shingle: int, distance: int) -> DataFrame:
     # Only fingerprints with a link need their component's least id.
     linked = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(rooted.join(named, "root", "left").select("fp", "rows", F.coalesce("component_id", "least").alias("component_id")))
-    return lookup(marked, named, "fp", "rows").select("doc_id", "fp", "component_id")
+    named = durable(rooted.join(named, "root", "left").select("fp", "rows", "root", F.coalesce("component_id", "least").alias("component_id")))
+    shown = ["doc_id", "fp", "component_id", *([F.col("root").alias(root)] if root else [])]
+    return lookup(marked, named, "fp", "rows").select(*shown)
 
 
 def hexed(fp: Column) -> Column:
