@@ -19,20 +19,17 @@ score of log10 of 1 / (V + 1) with V = 0: zero). Repeated rows count each. Extra
 
 from __future__ import annotations
 
-import functools
-import tempfile
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import text
-from shoebox.llm.blobs import BLOBS, dealt, pack, unpack
-from shoebox.llm.spark import HOT_SHARE, fresh_folder, open_folder
+from shoebox.llm.blobs import BLOBS, arrays_of, by_shard, dealt, found_in, pack, save, unpack
+from shoebox.llm.spark import HOT_SHARE, fresh_folder
 from shoebox.session import durable
 
 START = np.uint64(1)  # no word: words are hashes of at least one byte
@@ -153,15 +150,6 @@ def _bigrams(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     return docs.select("text").mapInArrow(task, BLOBS)
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Write under another name and move, so that a task that runs twice leaves one whole file."""
-    fs, base = open_folder(folder)
-    draft = f"{base}/_{name}-{np.random.default_rng().integers(2**62)}"
-    with fs.open_output_stream(draft) as out:
-        out.write(np.ascontiguousarray(array).data.cast("B") if len(array) else b"")
-    fs.move(draft, f"{base}/{name}")
-
-
 def _kinds(count: np.ndarray) -> list[np.ndarray]:
     return [count == 1, count == 2, count >= 3]
 
@@ -170,9 +158,7 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
     """Count the column text of all rows and store the model in the shared folder."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder = fresh_folder(spark, "lm")
-    fs, base = open_folder(folder)
-    fs.create_dir(base, recursive=True)
+    folder = fresh_folder(spark, "lm", make=True)
     sums = "tokens long, types long, n1 long, n2 long, n3 long, n4 long, m1 long, m2 long, m3 long, total long"
 
     def add_words(table: pa.Table) -> pa.Table:
@@ -207,15 +193,15 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
         key, at, total = _summed(_pair(before, word), count.astype(np.int64))
         before, word = before[at], word[at]
         over = np.flatnonzero(total > 254)
-        _save(folder, f"pair-{shard}", key)
-        _save(folder, f"count-{shard}", np.minimum(total, 255).astype(np.uint8))
-        _save(folder, f"over-{shard}", np.stack([over, total[over]]).astype(np.int64).ravel())
+        save(folder, f"pair-{shard}", key)
+        save(folder, f"count-{shard}", np.minimum(total, 255).astype(np.uint8))
+        save(folder, f"over-{shard}", np.stack([over, total[over]]).astype(np.int64).ravel())
         context, group = np.unique(before, return_inverse=True)
         size = np.bincount(group, total, len(context)).astype(np.int64)
         kinds = np.stack([np.bincount(group, k, len(context)).astype(np.int64) for k in _kinds(total)], 1)
         cold = ~_member(context, hot)
-        _save(folder, f"context-{shard}", context[cold])
-        _save(folder, f"mass-{shard}", np.column_stack([size, kinds])[cold].ravel())
+        save(folder, f"context-{shard}", context[cold])
+        save(folder, f"mass-{shard}", np.column_stack([size, kinds])[cold].ravel())
         later, before_it = np.unique(word, return_counts=True)
         blobs = dealt(_shard(later, shards), shards, later, before_it)
         n = blobs.num_rows
@@ -254,8 +240,8 @@ def fit(docs: DataFrame, shards: int | None = None) -> Model:
         key, _, count = _summed(word, raw)
         _, _, kinds = _summed(word, distinct)
         shard = rows[0]["shard"]
-        _save(folder, f"word-{shard}", key)
-        _save(folder, f"seen-{shard}", np.column_stack([count, kinds]).ravel())
+        save(folder, f"word-{shard}", key)
+        save(folder, f"seen-{shard}", np.column_stack([count, kinds]).ravel())
         values = [*((kinds == k).sum() for k in (1, 2, 3, 4)), *(k.sum() for k in _kinds(kinds)), kinds.sum()]
         return pa.table({n: pa.array([int(v)], pa.int64()) for n, v in zip(("n1", "n2", "n3", "n4", "m1", "m2", "m3", "total"), values, strict=True)})
 
@@ -277,79 +263,34 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(d, 0.01), k + 0.99) for k, d in enumerate(found))
 
 
-class _Arrays:
-    """A model's arrays, mapped when first used."""
-
-    def __init__(self, folder: str):
-        self.fs, self.base = open_folder(folder)
-        self.open: dict = {}
-
-    def get(self, name: str, kind) -> np.ndarray:
-        if name not in self.open:
-            path = f"{self.base}/{name}"
-            info = self.fs.get_file_info(path)
-            if info.type != pafs.FileType.File or not info.size:
-                self.open[name] = np.zeros(0, kind)
-            elif isinstance(self.fs, pafs.LocalFileSystem):
-                self.open[name] = np.memmap(path, kind, "r")
-            else:
-                with tempfile.TemporaryFile() as copy, self.fs.open_input_stream(path) as source:
-                    while block := source.read(1 << 24):
-                        copy.write(block)
-                    copy.flush()
-                    self.open[name] = np.memmap(copy, kind, "r")
-        return self.open[name]
-
-
-_arrays = functools.lru_cache(maxsize=1)(_Arrays)
-
-
-def _found(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which keys are known, and the place of those."""
-    if not len(known):
-        return np.zeros(len(keys), bool), np.zeros(0, np.int64)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    return hit, at[hit]
-
-
-def _by_shard(keys: np.ndarray, shard: np.ndarray, shards: int):
-    """The places of each shard's keys, in key order."""
-    order = np.lexsort((keys, shard))
-    cut = np.searchsorted(shard[order], np.arange(shards + 1))
-    for s in range(shards):
-        if cut[s] < cut[s + 1]:
-            yield s, order[cut[s] : cut[s + 1]]
-
-
 def _log_probs(model: Model, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """log10 p(word | before), and each word's training count."""
-    arrays = _arrays(model.folder)
+    arrays = arrays_of(model.folder)
 
     def discount(order, count):
         return np.append(0, model.discounts[order])[np.minimum(count, 3)]
 
     words, word_at = np.unique(word, return_inverse=True)
     seen = np.zeros((len(words), 2), np.int64)
-    for s, mine in _by_shard(words, _shard(words, model.shards), model.shards):
-        hit, at = _found(words[mine], arrays.get(f"word-{s}", np.uint64))
+    for s, mine in by_shard(words, _shard(words, model.shards), model.shards):
+        hit, at = found_in(words[mine], arrays.get(f"word-{s}", np.uint64))
         seen[mine[hit]] = arrays.get(f"seen-{s}", np.int64).reshape(-1, 2)[at]
     rest = float(model.discounts[1] @ model.lower_kinds) / model.bigram_types if model.bigram_types else 1.0
     single = np.maximum(seen[:, 1] - discount(1, seen[:, 1]), 0) / max(model.bigram_types, 1) + rest / (model.types + 1)
     contexts, context_at = np.unique(before, return_inverse=True)
     mass = np.zeros((len(contexts), 4), np.int64)
-    for s, mine in _by_shard(contexts, _shard(text.mix(contexts), model.shards), model.shards):
-        hit, at = _found(contexts[mine], arrays.get(f"context-{s}", np.uint64))
+    for s, mine in by_shard(contexts, _shard(text.mix(contexts), model.shards), model.shards):
+        hit, at = found_in(contexts[mine], arrays.get(f"context-{s}", np.uint64))
         mass[mine[hit]] = arrays.get(f"mass-{s}", np.int64).reshape(-1, 4)[at]
-    hit, at = _found(contexts, model.hot)
+    hit, at = found_in(contexts, model.hot)
     mass[hit] = np.column_stack([model.hot_total, model.hot_kinds])[at]
     total = mass[:, 0]
     back = np.where(total > 0, mass[:, 1:] @ model.discounts[0] / np.maximum(total, 1), 1.0)
     keys = _pair(before, word)
     pairs, first, pair_at = np.unique(keys, return_index=True, return_inverse=True)
     count = np.zeros(len(pairs), np.int64)
-    for s, mine in _by_shard(pairs, _pair_shard(before[first], pairs, model.hot, model.shards), model.shards):
-        hit, at = _found(pairs[mine], arrays.get(f"pair-{s}", np.uint64))
+    for s, mine in by_shard(pairs, _pair_shard(before[first], pairs, model.hot, model.shards), model.shards):
+        hit, at = found_in(pairs[mine], arrays.get(f"pair-{s}", np.uint64))
         held = arrays.get(f"count-{s}", np.uint8)[at].astype(np.int64)
         if (held == 255).any():
             place, large = arrays.get(f"over-{s}", np.int64).reshape(2, -1)

@@ -22,12 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fresh_folder(spark: SparkSession, kind: str) -> str:
+def fresh_folder(spark: SparkSession, kind: str, make: bool = False) -> str:
     """A new folder below the shared one, as a URI that tasks open by pyarrow's file systems."""
     base = shared_dir(spark)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
-    return f"{base}/shoebox/{kind}-{uuid.uuid4().hex}"
+    folder = f"{base}/shoebox/{kind}-{uuid.uuid4().hex}"
+    if make:
+        fs, path = open_folder(folder)
+        fs.create_dir(path, recursive=True)
+    return folder
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -6,7 +6,8 @@ A transform over whole documents would take as many rounds as the longest has by
 overlapping segments at anchors: in every window of LENGTH bytes the ``GRAM``-byte string with the least hash (the leftmost
 of equals) is one. Equal windows have equal anchors at the same place, so both lie in segments, LENGTH - GRAM bytes to the
 left of the anchor and LENGTH from it on, that line up column by column; and segments with different anchors share no window.
-Segments are dealt by their anchor into sequential blobs, equal ones of a task written once with their places.
+A first pass writes the hashes of anchors in more than one document as sorted external files; a second one reads them in order and
+deals only segments of such anchors, by anchor, into sequential blobs, equal ones of a task written once with their places.
 
 A shard then builds the transform of its distinct segments, those whose anchor stands in more than one document, from the last
 column to the first. Each round inserts one symbol per segment: a stable sort by the new symbol turns the order of suffixes from the next
@@ -29,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox.llm import text
-from shoebox.llm.blobs import BLOBS, dealt, pack, unpack
+from shoebox.llm.blobs import BLOBS, arrays_of, by_shard, dealt, found_in, pack, save, unpack
+from shoebox.llm.spark import fresh_folder
 from shoebox.session import durable
 
 LENGTH = 50
 GRAM = 16
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-FLUSH = 12 << 20  # bytes of text whose segments a task holds
+FLUSH = 48 << 20  # bytes of segments a task holds
 NULL_ID = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(28)  # a text of up to 256 MiB; the rest of 64 bits ranks the anchors
 SPANS = "doc_id long, body long, spans array<bigint>"
@@ -65,8 +67,67 @@ def _anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return place[fresh], doc[fresh]
 
 
-def _segments(docs: DataFrame, shards: int) -> DataFrame:
-    """Blobs of distinct segments and of their places, by shard of the anchor."""
+def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
+    return ((anchor >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+
+
+def _anchor_hashes(part: text.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, document and 48-bit hash of every anchor of a slice; what a clash lets through, the bytes take out again."""
+    place, doc = _anchors(part.raw, part.bounds)
+    sums = text.prefix(part.raw)
+    return place, doc, text.span_hash(sums, place, place + GRAM) >> np.uint64(16)
+
+
+def _repeated(docs: DataFrame, shards: int) -> str:
+    """A folder with a sorted array per shard: the anchors that stand in more than one row."""
+    folder = fresh_folder(docs.sparkSession, "anchors", make=True)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size, rows = 0, 0
+
+        def flush():
+            row, key = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(key, kind="stable")
+            row, key = row[order], key[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            several = np.maximum.reduceat(row, first) > np.minimum.reduceat(row, first)
+            key = key[first]
+            return dealt(_shard(key, shards), shards, (key >> np.uint64(16)).astype(np.uint32), key.astype(np.uint16), several)
+
+        for batch in batches:
+            for part in text.slices(batch):
+                place, doc, key = _anchor_hashes(part)
+                held.append((rows + part.first + doc, key))
+                size += len(part.raw)
+                if size >= FLUSH:
+                    yield flush()
+                    size = 0
+            rows += batch.num_rows
+        if sum(len(h[1]) for h in held):
+            yield flush()
+
+    def keep(table: pa.Table) -> pa.Table:
+        parts = [unpack(b, np.uint32, np.uint16, np.bool_) for b in table.column("blob").to_pylist()]
+        high, low, several = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, at, count = np.unique(high.astype(np.uint64) << np.uint64(16) | low, return_inverse=True, return_counts=True)
+        again = (count > 1) | (np.bincount(at, several) > 0)
+        save(folder, f"again-{table.column('shard')[0].as_py()}", key[again])
+        return pa.table({"n": pa.array([int(again.sum())], pa.int64())})
+
+    docs.select("text").mapInArrow(task, BLOBS).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    return folder
+
+
+def _segments(docs: DataFrame, shards: int, folder: str) -> DataFrame:
+    """Blobs of distinct segments with repeated anchors and of their places, by shard of the anchor."""
+
+    def repeated(key: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(key), bool)
+        for s, mine in by_shard(key, _shard(key, shards), shards):
+            out[mine] = found_in(key[mine], arrays_of(folder).get(f"again-{s}", np.uint64))[0]
+        return out
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -88,7 +149,7 @@ def _segments(docs: DataFrame, shards: int) -> DataFrame:
                     mine, all_of = first[order[cut[s] : cut[s + 1]]], by_shard[ends[s] : ends[s + 1]]
                     rows.append(
                         (s, pack(
-                            key[mine], cells[mine].ravel(), before[mine], after[mine],
+                            cells[mine].ravel(), before[mine], after[mine],
                             number[same[all_of]].astype(np.uint32), doc_id[all_of], body[all_of], place[all_of],
                         ))
                     )
@@ -98,7 +159,9 @@ def _segments(docs: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             ids, bodies = np.asarray(batch.column("doc_id").fill_null(NULL_ID)), np.asarray(batch.column("body"))
             for part in text.slices(batch):
-                place, doc = _anchors(part.raw, part.bounds)
+                place, doc, anchor = _anchor_hashes(part)
+                kept = repeated(anchor)
+                place, doc, anchor = place[kept], doc[kept], anchor[kept]
                 if not len(place):
                     continue
                 before = np.minimum(place - part.bounds[doc], LEFT)
@@ -108,12 +171,10 @@ def _segments(docs: DataFrame, shards: int) -> DataFrame:
                 known = (column >= -before[:, None]) & (column < after[:, None])
                 cells = np.where(known, part.raw[np.clip(source, 0, len(part.raw) - 1)], 0).astype(np.uint8)
                 sums = text.prefix(part.raw)
-                anchor = text.span_hash(sums, place, place + GRAM)
                 key = text.mix(text.span_hash(sums, place - before, place + after) + (before * 64 + after).astype(np.uint64))
-                shard = ((anchor >> np.uint64(3)) % np.uint64(shards)).astype(np.int64)
                 row = part.first + doc
-                held.append((key, shard, cells, ids[row], bodies[row], (place - part.bounds[doc]).astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8)))
-                size += len(part.raw)
+                held.append((key, _shard(anchor, shards), cells, ids[row], bodies[row], (place - part.bounds[doc]).astype(np.uint32), before.astype(np.uint8), after.astype(np.uint8)))
+                size += len(place) * WIDTH
                 if size >= FLUSH:
                     yield flush()
                     size = 0
@@ -153,14 +214,17 @@ def _least_ids(cells: np.ndarray, before: np.ndarray, after: np.ndarray, least:
 
 def _matched(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc_id, body, start, end) of the span of each place that has one."""
-    kinds = (np.uint64, np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64, np.uint32)
+    kinds = (np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64, np.uint32)
     parts = [unpack(b, *kinds) for b in table.column("blob").to_pylist()]
-    shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-    key = np.concatenate([p[0] for p in parts])
-    cells = np.concatenate([p[1] for p in parts]).reshape(-1, WIDTH)
-    before, after = np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-    segment = np.concatenate([p[4] + s for p, s in zip(parts, shift, strict=False)]).astype(np.int64)
-    doc_id, body, place = (np.concatenate([p[k] for p in parts]) for k in (5, 6, 7))
+    shift = np.cumsum([0, *(len(p[1]) for p in parts)])
+    cells = np.concatenate([p[0] for p in parts]).reshape(-1, WIDTH)
+    before, after = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    segment = np.concatenate([p[3] + s for p, s in zip(parts, shift, strict=False)]).astype(np.int64)
+    doc_id, body, place = (np.concatenate([p[k] for p in parts]) for k in (4, 5, 6))
+    key = before.astype(np.uint64) * np.uint64(64) + after
+    for k in range(0, WIDTH - 8 + 1, 8):
+        key = text.mix(key + np.ascontiguousarray(cells[:, k : k + 8]).view(np.uint64)[:, 0])
+    key = text.mix(key + np.ascontiguousarray(cells[:, WIDTH - 8 :]).view(np.uint64)[:, 0])
     # One row per distinct segment; should two have one key, the bytes keep them apart.
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
     odd = np.flatnonzero((cells != cells[first[same]]).any(1) | (before != before[first[same]]) | (after != after[first[same]]))
@@ -236,7 +300,7 @@ def spans(docs: DataFrame) -> DataFrame:
         return pa.table({"doc_id": ids, "body": pa.array(body[first]), "spans": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").withColumn("body", F.xxhash64("text"))
-    found = durable(_segments(rows, shards).groupBy("shard").applyInArrow(match, BLOBS))
+    found = durable(_segments(rows, shards, _repeated(rows, shards)).groupBy("shard").applyInArrow(match, BLOBS))
     return durable(found.groupBy("shard").applyInArrow(merge, SPANS))
 
 
