@@ -90,7 +90,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     own = durable(measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketch))
     # The rows of one language and of all are sums over groups, not over documents.
     langs = durable(own.groupBy("lang").agg(total, *merged))
-    everything = langs.agg(total, *merged)
+    everything = langs.groupBy(F.lit(0).alias("every")).agg(total, *merged)
 
     def fences(level: str) -> Column:
         def at(m, q):
@@ -103,8 +103,10 @@ def thresholds(measured: DataFrame) -> DataFrame:
     levels = own.select("lang", "source", fences("own")).join(
         langs.select(F.col("lang").alias("its_lang"), fences("of_lang")), F.col("lang").eqNullSafe(F.col("its_lang"))
     )
-    levels = levels.crossJoin(F.broadcast(everything.select(fences("of_all"))))  # one row
-    limit = F.when(F.col("own.n") >= MIN_ROWS, F.col("own")).when(F.col("of_lang.n") >= MIN_ROWS, F.col("of_lang")).otherwise(F.col("of_all"))
+    found = everything.select(fences("of_all")).first()
+    limits = found["of_all"].asDict() if found else {}
+    of_all = F.struct(*(F.lit(limits.get(c)).cast("long" if c == "n" else "double").alias(c) for c in ("n", *MEASURES)))
+    limit = F.when(F.col("own.n") >= MIN_ROWS, F.col("own")).when(F.col("of_lang.n") >= MIN_ROWS, F.col("of_lang")).otherwise(of_all)
     return durable(levels.select("lang", "source", F.col("own.n").alias("group_rows"), limit.alias("limit")))
 
 
