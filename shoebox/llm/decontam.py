@@ -123,7 +123,7 @@ def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(found)
         yield pa.RecordBatch.from_pydict({"term": np.append(used, -1), "docs": np.append(found[used], rows)})
 
-    rows = docs.select("text").mapInArrow(task, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
+    rows = docs.select("text").mapInArrow(text.returned(task), "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs")).collect()
     counts = {r["term"]: r["docs"] for r in rows}
     return np.array([counts.get(k, 0) for k in range(len(terms))], np.float64), counts.get(-1, 0)
 
@@ -164,7 +164,7 @@ def _range(docs: DataFrame, terms: np.ndarray, idf: np.ndarray, sketch: np.ndarr
         return first.set_column(first.schema.get_field_index("part"), "part", pa.array([total.tobytes()], pa.binary()))
 
     schema = "chunk long, turn long, part binary"
-    parts = docs.select("text").mapInArrow(task, schema).groupBy("chunk", "turn").applyInArrow(add, schema)
+    parts = docs.select("text").mapInArrow(text.returned(task), schema).groupBy("chunk", "turn").applyInArrow(add, schema)
     rows = parts.groupBy("chunk").applyInArrow(add, schema).collect()
     out = np.zeros((len(terms), sketch.shape[1]))
     for r in rows:
@@ -260,7 +260,9 @@ def _leaks(part: text.Slice, at: Space) -> list[dict[int, tuple[float, float]]]:
         near = folded @ at.folded[mine].T >= CANDIDATE * length[:, None]
         # Neighbouring candidate windows of one item are one region.
         k, w = np.nonzero(near.T)
-        fresh = np.append(True, (k[1:] != k[:-1]) | (owner[w[1:]] != owner[w[:-1]]) | (start[w[1:]] > start[w[:-1]] + size)) if len(k) else k
+        if not len(k):
+            continue
+        fresh = np.append(True, (k[1:] != k[:-1]) | (owner[w[1:]] != owner[w[:-1]]) | (start[w[1:]] > start[w[:-1]] + size))
         begin = np.flatnonzero(fresh)
         last = np.append(begin[1:], len(k)) - 1
         for item_at, doc_at, low, high in zip(
@@ -306,7 +308,7 @@ def _marked(docs: DataFrame, latent: Space) -> DataFrame:
             place = batch.schema.get_field_index("leaks")
             yield batch.set_column(place, "leaks", pa.array(leaks, _ARROW_LEAKS))
 
-    return docs.mapInArrow(task, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(text.returned(task), T.StructType(docs.schema.fields))
 
 
 _ARROW_LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("answer", pa.float64())]))

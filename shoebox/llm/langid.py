@@ -28,6 +28,7 @@ from shoebox.llm import text
 
 DIMENSIONS = 1024
 GRAM = 3
+BLOCK = 2048
 UNKNOWN = "und"
 SPACE = 32
 
@@ -107,9 +108,15 @@ def _bundles(part: text.Slice, owner: np.ndarray, owners: int, size: int, gram:
     doc, number, count, points = _grams(part, gram)
     who = owner[doc]
     mine = who >= 0
-    dense = np.zeros((owners, len(points)), np.float32)
-    np.add.at(dense, (who[mine], number[mine]), count[mine].astype(np.float32))
-    return dense @ _bound(points, size)
+    order = np.argsort(number[mine], kind="stable")
+    who, number, count = who[mine][order], number[mine][order], count[mine][order].astype(np.float32)
+    out = np.zeros((owners, size), np.float32)
+    for low in range(0, len(points), BLOCK):  # whole numbers: blocks add up exactly
+        a, b = np.searchsorted(number, [low, low + BLOCK])
+        dense = np.zeros((owners, min(BLOCK, len(points) - low)), np.float32)
+        np.add.at(dense, (who[a:b], number[a:b] - low), count[a:b])
+        out += dense @ _bound(points[low : low + BLOCK], size)
+    return out
 
 
 def fit(examples: DataFrame, size: int = DIMENSIONS, gram: int = GRAM) -> Profiles:
@@ -129,14 +136,12 @@ def fit(examples: DataFrame, size: int = DIMENSIONS, gram: int = GRAM) -> Profil
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
     rows = examples.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    parts = rows.mapInArrow(task, "lang string, vector array<double>").select("lang", F.posexplode("vector"))
+    parts = rows.mapInArrow(text.returned(task), "lang string, vector array<double>").select("lang", F.posexplode("vector"))
     total = parts.groupBy("lang", "pos").agg(F.sum("col").alias("value")).groupBy("lang")
     found = total.agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("vector")).orderBy("lang").collect()
-    vectors = np.array([[x["value"] for x in r["vector"]] for r in found]).reshape(len(found), -1)
-    length = np.linalg.norm(vectors, axis=1) if len(found) else np.zeros(0)
-    names = [r["lang"] for r, n in zip(found, length, strict=True) if n > 0]
-    kept = vectors[length > 0] if len(found) else np.zeros((0, size))
-    return Profiles(names, (kept / length[length > 0][:, None]).astype(np.float32))
+    profiles = {r["lang"]: np.array([x["value"] for x in r["vector"]]) for r in found}
+    profiles = {name: v / np.linalg.norm(v) for name, v in profiles.items() if v.any()}
+    return Profiles(list(profiles), np.array(list(profiles.values()), np.float32))
 
 
 def predict(rows: DataFrame, profiles: Profiles, gram: int = GRAM) -> DataFrame:
@@ -162,4 +167,4 @@ def predict(rows: DataFrame, profiles: Profiles, gram: int = GRAM) -> DataFrame:
             )
 
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(text.returned(task), schema)

@@ -104,7 +104,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    cut = rows.mapInArrow(task, PIECES.rsplit(",", 1)[0])
+    cut = rows.mapInArrow(text.returned(task), PIECES.rsplit(",", 1)[0])
     return durable(cut.withColumn("row", F.monotonically_increasing_id()))
 
 

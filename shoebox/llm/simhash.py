@@ -78,7 +78,7 @@ def fingerprints(rows: DataFrame, shingle: int, keep_text: bool = False) -> Data
             )
 
     kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    return rows.mapInArrow(task, T.StructType([*kept, T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(text.returned(task), T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def _segment(value: Column, k: int) -> Column:

@@ -116,7 +116,7 @@ def _repeated(docs: DataFrame, shards: int) -> str:
         save(folder, f"again-{table.column('shard')[0].as_py()}", key[again])
         return pa.table({"n": pa.array([int(again.sum())], pa.int64())})
 
-    docs.select("text").mapInArrow(task, BLOBS).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
+    docs.select("text").mapInArrow(text.returned(task), BLOBS).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
     return folder
 
 
@@ -181,7 +181,7 @@ def _segments(docs: DataFrame, shards: int, folder: str) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.mapInArrow(task, BLOBS)
+    return docs.mapInArrow(text.returned(task), BLOBS)
 
 
 def _least_ids(cells: np.ndarray, before: np.ndarray, after: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -337,7 +337,7 @@ def digest(rows: DataFrame) -> DataFrame:
             )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(task, schema)
+    return rows.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(text.returned(task), schema)
 
 
 def trimmed(body: Column, gone: Column) -> Column:
