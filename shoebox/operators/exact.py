@@ -39,13 +39,13 @@ def to_store(files: DataFrame, content: DataFrame, sha: str = "sha256_hex") -> D
 def incremental(scan: DataFrame, files: DataFrame) -> DataFrame:
     """Scanned files (``path``, ``disk_mtime``) that are new or whose time of change differs.
 
-    Times are compared at the millisecond, the precision of file sources.
+    Times are compared at the microsecond, the precision of listings.
     """
     known = files.select(
-        F.col("local_path").alias("path"), F.unix_millis("disk_mtime").alias("_ms")
+        F.col("local_path").alias("path"), F.unix_micros("disk_mtime").alias("_us")
     )
-    listed = scan.withColumn("_ms", F.unix_millis("disk_mtime"))
-    return listed.join(known, ["path", "_ms"], "left_anti").drop("_ms")
+    listed = scan.withColumn("_us", F.unix_micros("disk_mtime"))
+    return listed.join(known, ["path", "_us"], "left_anti").drop("_us")
 
 
 def missing_files(scan: DataFrame, files: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def upsert_files(files: DataFrame, batch: DataFrame, new_id: Column | None = Non
         refreshed("file_size"),
         kept("discovered_at"),
         refreshed("disk_mtime"),
-        F.coalesce("present_locally", F.lit(True)).alias("present_locally"),
+        F.when(untouched, F.col("present_locally")).otherwise(True).alias("present_locally"),
         repointed("image_type"),
         repointed("content_id"),
         kept("parent_folder_id"),

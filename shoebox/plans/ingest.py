@@ -25,7 +25,8 @@ from shoebox.plans.decide import decide
 from shoebox.session import dense_order, durable
 from shoebox.sources import facts as fact_source
 from shoebox.sources import scan, store
-from shoebox.sources.catalog import Catalog
+from shoebox.sources.catalog import Catalog, one_version
+from shoebox.sources.storage import plain
 
 ENCODE_ROWS = 16  # pictures handed to the model at once
 
@@ -74,6 +75,7 @@ def _update(content: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+@one_version
 def ensure_folder(lib: Library, path: str, title: str | None = None) -> int:
     """Id of the synced folder ``path``, registering it on first use."""
     known = lib.table("synced_folders")
@@ -213,6 +215,7 @@ def _encode_files(rows: DataFrame, factory: Callable[[], Encoder]) -> DataFrame:
     return dealt.mapInArrow(run, "id long, embedding array<float>, error string")
 
 
+@one_version
 def embed_contents(lib: Library, sources: DataFrame, force: bool = False) -> DataFrame:
     """Embed contents that need it, from ``sources`` (``id``, ``path``, ``file_size``): one file
     or object each. Commits vectors and status together; returns ``id``, ``error`` of what was tried."""
@@ -243,6 +246,7 @@ def embed_contents(lib: Library, sources: DataFrame, force: bool = False) -> Dat
     return encoded.select("id", "error")
 
 
+@one_version
 def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, policy: str | None = None) -> DataFrame:
     """Bring files with known facts into the library. Returns ``path``, ``outcome``, ``error``."""
     policy = filters.check_policy(policy or lib.policy)
@@ -334,20 +338,13 @@ def ingest_paths(lib: Library, paths: DataFrame | list[str], parent_id: int | No
     """Ingest named files, whatever their extension. A path without a file is an error row."""
     policy = filters.check_policy(policy or lib.policy)
     if isinstance(paths, list):
-        paths = lib.spark.createDataFrame([(p,) for p in paths], "path string")
+        paths = lib.spark.createDataFrame([(plain(p),) for p in paths], "path string")
     listed = durable(scan.stat_paths(paths))
     gone = listed.where("file_size is null").select(
         "path", F.lit("error").alias("outcome"), F.lit("FileNotFoundError: not a file").alias("error")
     )
     there = listed.where("file_size is not null")
-    root = None
-    if lib.decoder is None and fact_source.pillow_decoder() is None:
-        root = [r[0] for r in there.select("path").limit(10_001).collect()]
-        if len(root) > 10_000:
-            raise RuntimeError("pass a decoder or install Pillow to ingest more than 10,000 named files at once")
-        if not root:
-            return gone
-    facts = fact_source.gather(there, lib.decoder, root)
+    facts = fact_source.gather(there.drop("found"), lib.decoder)
     return ingest_facts(lib, facts, parent_id, policy).unionByName(gone)
 
 
@@ -356,20 +353,34 @@ def ingest_file(lib: Library, path: str, parent_id: int | None = None, policy: s
     result = ingest_paths(lib, [path], parent_id, policy).first()
     if result["outcome"] == "error":
         if result["error"].startswith("FileNotFoundError"):
-            raise FileNotFoundError(f"{path} does not exist or is not a file")
-        raise RuntimeError(f"error ingesting {path}: {result['error']}")
-    return lib.table("files").where(F.col("local_path") == path).select("content_id").first()[0]
+            raise FileNotFoundError(f"no file to ingest at {path}")
+        raise RuntimeError(f"{path} was not ingested: {result['error']}")
+    return lib.table("files").where(F.col("local_path") == plain(path)).select("content_id").first()[0]
+
+
+@one_version
+def _mark_back(lib: Library, listed: DataFrame) -> None:
+    files = lib.table("files")
+    back = durable(files.where("not present_locally").join(listed.select(F.col("path").alias("local_path")), "local_path", "left_semi").select("id"))
+    if not back.isEmpty():
+        seen = back.withColumn("_back", F.lit(True))
+        marked = files.join(seen, "id", "left").withColumn("present_locally", F.coalesce("_back", "present_locally"))
+        lib.catalog.commit(replace={"files": marked.select(*files.columns)})
 
 
 def sync_folder(lib: Library, root: str, title: str | None = None, policy: str | None = None) -> DataFrame:
-    """Ingest every new or changed picture below ``root``: one row of ingested, skipped, errors."""
+    """Ingest every new or changed picture below ``root``: one row of ingested, skipped, errors.
+
+    A folder that may not be listed counts as one error. Known files that are back are present again.
+    """
     policy = filters.check_policy(policy or lib.policy)
-    root = root.rstrip("/") or "/"
-    listed = scan.list_images(lib.spark, root)
+    root = plain(root).rstrip("/") or "/"
+    listed, unlisted = scan.list_tree(lib.spark, root)
+    _mark_back(lib, listed)
     folder_id = ensure_folder(lib, root, title)
     changed = durable(exact.incremental(listed, lib.table("files")))
     total, new = listed.count(), changed.count()
-    skipped = lib.spark.createDataFrame([(total - new,)], "skipped long")
+    skipped = lib.spark.createDataFrame([(total - new, unlisted.count())], "skipped long, errors long")
     if new:
         outcomes = ingest_facts(lib, fact_source.gather(changed, lib.decoder, root), folder_id, policy)
         counted = lifecycle.sync_report(outcomes).drop("skipped")
@@ -419,11 +430,14 @@ def recover(lib: Library) -> DataFrame:
     return embed_contents(lib, sources)
 
 
+@one_version
 def mark_missing(lib: Library, root: str) -> int:
-    """Clear ``present_locally`` of files below ``root`` that are gone; objects stay stored."""
-    listed = scan.list_images(lib.spark, root)
+    """Set ``present_locally`` of the known files below ``root``, of any extension, by looking at each.
+
+    Files that cannot be looked at keep their flag; objects stay stored.
+    """
     files = lib.table("files")
-    below = F.col("local_path").startswith(root.rstrip("/") + "/")
-    return lib.catalog.commit(
-        replace={"files": exact.mark_missing(listed, files.where(below)).unionByName(files.where(~below))}
-    )
+    below = files.where(F.col("local_path").startswith(plain(root).rstrip("/") + "/"))
+    seen = scan.stat_paths(below.select(F.col("local_path").alias("path"))).select(F.col("path").alias("local_path"), "found")
+    marked = files.join(seen, "local_path", "left").withColumn("present_locally", F.coalesce("found", "present_locally"))
+    return lib.catalog.commit(replace={"files": marked.select(*files.columns)})

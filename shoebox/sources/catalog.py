@@ -2,14 +2,20 @@
 
 Each version is one small manifest naming the Parquet folders of every table. A commit writes new
 folders first and the manifest last, under the next number; readers see all of it or nothing, and
-of two concurrent writers the second fails and must start again from the new version.
+of two concurrent writers the second fails and must start again from the new version. A job reads and commits
+inside ``pinned``: everything it reads is of one version, and its commits follow that version or fail.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from shoebox.schemas import TABLES
@@ -18,11 +24,52 @@ from shoebox.sources.storage import ControlFiles
 MAX_FOLDERS = 100  # appended folders per table before they are merged
 
 
+COMMIT_TRIES = 5
+
+
+class VersionTaken(RuntimeError):
+    """Another writer has published the version that a commit was to make."""
+
+
+def one_version(job: Callable) -> Callable:
+    """A job on a library, of which all reads and commits build on one version; lost races start it again."""
+
+    @functools.wraps(job)
+    def run(lib, *args, **kwargs):
+        inner = lib.catalog.base is not None
+        for left in reversed(range(1 if inner else COMMIT_TRIES)):
+            try:
+                with lib.catalog.pinned():
+                    return job(lib, *args, **kwargs)
+            except VersionTaken:
+                if not left:
+                    raise
+
+    return run
+
+
 class Catalog:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
         self._control = ControlFiles(spark, self.root)
+        self._of_thread = threading.local()
+
+    @property
+    def base(self) -> int | None:
+        """The version this thread's job builds on."""
+        return getattr(self._of_thread, "base", None)
+
+    @contextmanager
+    def pinned(self) -> Iterator[None]:
+        if self.base is not None:  # part of a larger job
+            yield
+            return
+        self._of_thread.base = self.version()
+        try:
+            yield
+        finally:
+            self._of_thread.base = None
 
     def version(self) -> int:
         names = [n for n in self._control.names(f"{self.root}/versions") if n.endswith(".json")]
@@ -34,12 +81,16 @@ class Catalog:
         return json.loads(self._control.read(f"{self.root}/versions/{version:010d}.json"))
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
-        """A table as of ``version``, by default the latest one; empty before the first commit."""
-        folders = self._manifest(self.version() if version is None else version).get(table, [])
+        """A table as of ``version``, by default the job's or the latest one; empty before the first commit."""
+        folders = self._manifest(self._default(version)).get(table, [])
         if not folders:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def _default(self, version: int | None) -> int:
+        known = version if version is not None else self.base
+        return self.version() if known is None else known
+
     def _write(self, table: str, rows: DataFrame) -> str:
         schema = TABLES[table]
         folder = f"tables/{table}/{uuid.uuid4().hex}"
@@ -54,7 +105,7 @@ class Catalog:
         base: int | None = None,
     ) -> int:
         """Publish new table contents together; returns the new version number."""
-        base = self.version() if base is None else base
+        base = self._default(base)
         manifest = dict(self._manifest(base))
         for table, rows in (replace or {}).items():
             manifest[table] = [self._write(table, rows)]
@@ -64,5 +115,13 @@ class Catalog:
                 manifest[table] = [self._write(table, self.read(table, base).unionByName(rows))]
             else:
                 manifest[table] = held + [self._write(table, rows)]
-        self._control.create(f"{self.root}/versions/{base + 1:010d}.json", json.dumps(manifest, sort_keys=True))
+        name = f"{self.root}/versions/{base + 1:010d}.json"
+        try:
+            self._control.create(name, json.dumps(manifest, sort_keys=True))
+        except Py4JJavaError as problem:
+            if self._control.is_file(name):
+                raise VersionTaken(f"version {base + 1} of {self.root} is already there") from problem
+            raise
+        if self.base is not None:
+            self._of_thread.base = base + 1
         return base + 1

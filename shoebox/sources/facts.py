@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from shoebox.functions.paths import local_path, mime_type
 from shoebox.functions.pixels import SIDE, hash_picture, hash_small, phash_of_image
+from shoebox.session import durable
 from shoebox.sources.storage import locate
 
 Decoder = Callable[[bytes], np.ndarray]  # file bytes -> gray picture (height, width)
 BLOCK = 8 * 1024 * 1024
 BYTES_PER_TASK = 64 * 1024 * 1024
-MAX_TASKS = 100_000
+NAMED = 5_000  # about so many named files are looked up by one read of Spark's image source
 
 
 def pillow_decoder() -> Decoder | None:
@@ -48,7 +49,7 @@ def by_bytes(rows: DataFrame, size: str = "file_size", keys: tuple[str, ...] = (
     total = rows.agg(F.sum(size).alias("b"), F.count("*").alias("n")).first()
     cores = rows.sparkSession.sparkContext.defaultParallelism
     wanted = max(cores, -(-(total["b"] or 0) // BYTES_PER_TASK))
-    return rows.repartition(max(1, min(wanted, total["n"], MAX_TASKS)), *keys)
+    return rows.repartition(max(1, min(wanted, total["n"])), *keys)
 
 
 def read_file(uri: str) -> bytes:
@@ -97,16 +98,29 @@ def image_source_hashes(spark: SparkSession, files: list[str] | str) -> DataFram
         spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(files)
     )
     return images.select(
-        local_path("image.origin").alias("path"),
+        # Origins are percent-encoded; a plus sign in one stands for itself.
+        local_path(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B")))).alias("path"),
         phash_of_image(F.struct("image.height", "image.width", "image.nChannels", "image.data")).alias("phash"),
     )
 
 
+def _hashes_of_named(listing: DataFrame) -> DataFrame:
+    """Image-source hashes of the listed files only, block by block of the paths' hashes, however many there are."""
+    spark, paths = listing.sparkSession, listing.select("path")
+    blocks = max(1, -(-paths.count() // NAMED))
+    found = spark.createDataFrame([], "path string, phash string")
+    for block in range(blocks):
+        names = [r[0] for r in paths.where(F.pmod(F.xxhash64("path"), F.lit(blocks)) == block).collect()]
+        if names:
+            found = found.unionByName(durable(image_source_hashes(spark, names)))
+    return found
+
+
 def gather(listing: DataFrame, decoder: Decoder | None = None, root: str | None = None) -> DataFrame:
     """Facts of listed files (``path``, ``file_size``, ``disk_mtime``), one row per path.
 
-    Without a decoder Pillow is used; without Pillow the pictures below ``root`` are decoded by
-    Spark's image source in a second pass over the files.
+    Without a decoder Pillow is used; without Pillow the pictures below ``root``, or the listed files where no
+    root is given, are decoded by Spark's image source in a second pass.
     """
     spark = listing.sparkSession
     decoder = decoder or pillow_decoder()
@@ -114,9 +128,8 @@ def gather(listing: DataFrame, decoder: Decoder | None = None, root: str | None
         _fingerprint(decoder), "path string, sha256_hex string, phash string, file_size long, error string"
     )
     if decoder is None:
-        if root is None:
-            raise RuntimeError("no picture decoder: install Pillow, pass a decoder, or name a root folder")
-        decoded = image_source_hashes(spark, root).withColumnRenamed("phash", "_phash")
+        found = _hashes_of_named(listing) if root is None else image_source_hashes(spark, root)
+        decoded = found.withColumnRenamed("phash", "_phash")
         read = (
             read.join(decoded, "path", "left")
             .withColumn("phash", F.col("_phash"))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from shoebox.operators.filters import images_only
 from shoebox.session import durable
-from shoebox.sources.storage import ControlFiles, locate
+from shoebox.sources.storage import ControlFiles, locate, plain
 
 ENTRY = "path string, is_dir boolean, file_size long, mtime_us long"
+ENTRY_ARROW = pa.schema([("path", pa.string()), ("is_dir", pa.bool_()), ("file_size", pa.int64()), ("mtime_us", pa.int64())])
 LISTED = "path string, file_size long, disk_mtime timestamp"
 
 
@@ -30,6 +31,7 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             try:
                 infos = system.get_file_info(arrow_fs.FileSelector(path, allow_not_found=True))
             except PermissionError:
+                yield pa.RecordBatch.from_pylist([{"path": folder}], ENTRY_ARROW)
                 continue
             local = isinstance(system, arrow_fs.LocalFileSystem)
             prefix = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
@@ -42,52 +44,62 @@ def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     mtime = info.mtime_ns // 1000 if info.mtime_ns is not None else 0
                     rows.append((prefix + info.path, is_dir, None if is_dir else info.size, mtime))
             columns = list(zip(*rows)) if rows else [(), (), (), ()]
-            types = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=t) for c, t in zip(columns, types)],
-                names=["path", "is_dir", "file_size", "mtime_us"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, ENTRY_ARROW)], schema=ENTRY_ARROW)
 
 
 def _stat_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        paths, sizes, times = batch.column(0).to_pylist(), [], []
+        paths, sizes, times, there = batch.column(0).to_pylist(), [], [], []
         for one in paths:
             system, path = locate(one)
-            info = system.get_file_info(path)
+            try:
+                info = system.get_file_info(path)
+            except OSError:  # cannot be looked at: neither there nor gone
+                sizes.append(None), times.append(None), there.append(None)
+                continue
             found = info.type == arrow_fs.FileType.File
             sizes.append(info.size if found else None)
             times.append(info.mtime_ns // 1000 if found and info.mtime_ns is not None else None)
+            there.append(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.int64())],
-            names=["path", "file_size", "mtime_us"],
+            [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(times, pa.int64()), pa.array(there, pa.bool_())],
+            names=["path", "file_size", "mtime_us", "found"],
         )
 
 
 def list_images(spark: SparkSession, root: str) -> DataFrame:
     """All picture files below ``root``: ``path``, ``file_size``, ``disk_mtime``."""
+    return list_tree(spark, root)[0]
+
+
+def list_tree(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The picture files below ``root``, and the folders (``path``) that may not be listed."""
+    root = plain(root)
     if not ControlFiles(spark, root).is_dir(root):
-        raise NotADirectoryError(f"{root} does not exist or is not a directory")
+        raise NotADirectoryError(f"no folder to list at {root}")
     frontier = spark.createDataFrame([(root.rstrip("/") or "/",)], "path string")
     tasks = spark.sparkContext.defaultParallelism
-    files = None
+    files = unlisted = None
     while True:
         entries = durable(frontier.repartition(tasks, "path").mapInArrow(_list_folders, ENTRY))
         level = images_only(entries.where("not is_dir"))
         files = level if files is None else files.unionByName(level)
+        closed = entries.where("is_dir is null").select("path")
+        unlisted = closed if unlisted is None else unlisted.unionByName(closed)
         frontier = entries.where("is_dir").select("path")
         if frontier.isEmpty():
             break
         tasks = max(tasks, 4 * spark.sparkContext.defaultParallelism)
-    return files.select("path", "file_size", F.timestamp_micros("mtime_us").alias("disk_mtime"))
+    return files.select("path", "file_size", F.timestamp_micros("mtime_us").alias("disk_mtime")), unlisted
 
 
 def stat_paths(paths: DataFrame) -> DataFrame:
-    """Size and time of change of named files (``path``); NULL size where there is no such file.
+    """Size and time of change of named files (``path``); NULL size where there is no such file, ``found``
+    false where it is known to be gone.
 
     Named files are taken as they are: no test of the extension.
     """
     named = paths.select("path").distinct().mapInArrow(
-        _stat_files, "path string, file_size long, mtime_us long"
+        _stat_files, "path string, file_size long, mtime_us long, found boolean"
     )
-    return named.select("path", "file_size", F.timestamp_micros("mtime_us").alias("disk_mtime"))
+    return named.select("path", "file_size", F.timestamp_micros("mtime_us").alias("disk_mtime"), "found")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from urllib.parse import urlparse
 
 from pyarrow import fs as arrow_fs
@@ -46,6 +47,13 @@ class ControlFiles:
             stream.close()
 
 
+def plain(path: str) -> str:
+    """The one spelling of a path: local ones absolute and without scheme, others as they are."""
+    if path.startswith("file:"):
+        return "/" + path.removeprefix("file:").lstrip("/")
+    return path if urlparse(path).scheme and "://" in path else os.path.abspath(os.path.expanduser(path))
+
+
 def locate(uri: str) -> tuple[arrow_fs.FileSystem, str]:
     """File system and path of a file name or URI, without decoding special characters."""
     parsed = urlparse(uri)
