@@ -38,7 +38,7 @@ LENGTH = 50
 GRAM = 16
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-FLUSH = 48 << 20  # bytes of segments a task holds
+FLUSH = 24 << 20  # bytes of segments a task holds
 NULL_ID = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(28)  # a text of up to 256 MiB; the rest of 64 bits ranks the anchors
 SPANS = "doc_id long, body long, spans array<bigint>"
@@ -114,6 +114,7 @@ def _repeated(docs: DataFrame, shards: int) -> str:
         key, at, count = np.unique(high.astype(np.uint64) << np.uint64(16) | low, return_inverse=True, return_counts=True)
         again = (count > 1) | (np.bincount(at, several) > 0)
         save(folder, f"again-{table.column('shard')[0].as_py()}", key[again])
+        text.give_back()
         return pa.table({"n": pa.array([int(again.sum())], pa.int64())})
 
     docs.select("text").mapInArrow(text.returned(task), BLOBS).groupBy("shard").applyInArrow(keep, "n long").agg(F.sum("n")).collect()
@@ -280,6 +281,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def match(table: pa.Table) -> pa.Table:
         doc_id, body, start, end = _matched(table)
+        text.give_back()
         order = np.lexsort((start, body, doc_id))
         doc_id, body, start, end = doc_id[order], body[order], start[order], end[order]
         shard = (text.mix(body.view(np.uint64)) % np.uint64(shards)).astype(np.int64)

@@ -40,14 +40,19 @@ def _trim() -> Callable | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def give_back() -> None:
+    """Freed memory of this worker goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def returned(task: Callable) -> Callable:
     """The task of ``mapInArrow``, giving its freed memory back to the machine at its end: Python workers outlive tasks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := _trim():
-            trim(0)
+        give_back()
 
     return whole
 
