@@ -130,7 +130,7 @@ def test_decontamination(spark):
     items, table = benchmark(spark, [(90, None), (91, ""), (0, "the er on")])
     rng = random.Random(12)
     rows = corpus(60)
-    planted = {r[0]: 0 for r in rows if " the er on " in f" {r[1]} "}  # the short item stands there by chance
+    planted = {}
     for k, (item, body) in enumerate(items):
         w = body.split()
         changed = [x if j % 9 else "other" for j, x in enumerate(w)]  # a paraphrase of single words
@@ -138,8 +138,12 @@ def test_decontamination(spark):
             rows.append((doc, prose(rng, 70) + " " + passage + " " + prose(rng, 70), "en", "s", 1))
             planted[doc] = item
     found = {r["doc_id"]: r["leaks"] for r in decontam.mark(frames(spark, rows), table).collect()}
+    # The short item's words stand in some texts by chance: in order within one and a half times its length.
+    bodies = {r[0]: r[1].lower().split() for r in rows}
+    short = {d for d, w in bodies.items() if any(brute_common(["the", "er", "on"], w[k : k + 4]) == 3 for k in range(len(w)))}
     for doc, leaks in found.items():
-        assert [x["item_id"] for x in leaks] == ([planted[doc]] if doc in planted else []), doc
+        wanted = {planted[doc]} if doc in planted else set()
+        assert {x["item_id"] for x in leaks} == wanted | ({0} if doc in short else set()), doc
 
 
 def test_decontamination_edges(spark):
