@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.llm import decontam, langid, packing, simhash, suffix_dedup
-from shoebox.llm.spark import crc_fold, table
+from shoebox.llm.spark import bounded_batches, crc_fold, table
 from shoebox.session import durable
 
 LEAST_SCORE = 0.05
@@ -35,6 +35,7 @@ def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs, back = _aside(docs)
     columns = docs.columns
     profiles = langid.fit(docs.where(crc_fold("doc_id", 4) != 2))
@@ -43,6 +44,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs, back = _aside(docs)
     columns = docs.columns
     found = simhash.classes(docs.select("doc_id", "text"), SHINGLE, DISTANCE, root="root")
@@ -51,10 +53,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     winners = first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
     rows = simhash.fingerprints(docs, SHINGLE, keep_text=True)
     same = rows["doc_id"].eqNullSafe(winners["_id"]) & (rows["fp"] == winners["_fp"])
-    return rows.join(winners, same).dropDuplicates(["doc_id", "fp"]).select(*columns).withColumnsRenamed(back)
+    # Short rows are hashed; texts are not sorted for the join.
+    return rows.join(winners.hint("shuffle_hash"), same).dropDuplicates(["doc_id", "fp"]).select(*columns).withColumnsRenamed(back)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs, back = _aside(docs)
     columns = docs.columns
     rows = suffix_dedup.with_spans(docs, suffix_dedup.spans(docs.select("doc_id", "text")))
@@ -67,6 +71,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs, back = _aside(docs)
     columns = docs.columns
     marked = decontam.mark(docs, table(spark, sf_dir, "benchmark"))
@@ -74,6 +79,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack(packing.pieces(docs, path, end_id=END_ID, capacity=SEQUENCE), SEQUENCE)
 

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from shoebox.session import durable, shared_dir
 
 HOT_SHARE = 1024
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at ``BATCH_BYTES``, not only at a count of rows: a task and its worker hold that much text at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def crc_fold(column: str, folds: int) -> Column:

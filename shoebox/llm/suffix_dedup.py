@@ -311,7 +311,7 @@ def with_spans(docs: DataFrame, found: DataFrame, name: str = "spans") -> DataFr
     body = F.xxhash64("text")
     right = found.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("spans").alias(name))
     same = docs["doc_id"].cast("long").eqNullSafe(right["_id"]) & (body == right["_body"])
-    return docs.join(right, same, "left").drop("_id", "_body")
+    return docs.join(right.hint("shuffle_hash"), same, "left").drop("_id", "_body")
 
 
 def digest(rows: DataFrame) -> DataFrame:
