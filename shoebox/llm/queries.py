@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoebox.llm import decontam, kneser_ney, langid, packing, quality_rules, simhash, site_quality, suffix_dedup, token_files, toxicity
+from shoebox.llm import (
+    collocations, decontam, kneser_ney, langid, lexical_search, oracle, packing, quality_rules, simhash, site_quality, suffix_dedup,
+    token_files, toxicity,
+)
 from shoebox.llm.spark import crc_fold, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,11 +82,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language, from all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for each benchmark item."""
+    return lexical_search.search(lexical_search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 50)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_site_quality, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing,
-        op7_suffix_dedup, op8_decontamination, op9_toxicity, op10_simhash,
+        op7_suffix_dedup, op8_decontamination, op9_toxicity, op10_simhash, op12_collocations, op13_lexical_search,
     )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = dict(oracle.SQL)
