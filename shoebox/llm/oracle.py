@@ -4,6 +4,18 @@ from __future__ import annotations
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+OP11 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM texts WHERE len(w) >= 13),
+windows AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS body FROM starts),
+firsts AS (SELECT body, min(doc_id) AS owner FROM windows GROUP BY body),
+gone AS (SELECT DISTINCT w.doc_id, unnest(generate_series(i, i + 12)) AS at FROM windows w JOIN firsts f ON w.body = f.body AND f.owner < w.doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM texts),
+kept AS (SELECT w.doc_id, count(*) AS n_words, count(g.at) AS n_removed, string_agg(word, ' ' ORDER BY w.at) FILTER (WHERE g.at IS NULL) AS body
+         FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.at = w.at GROUP BY w.doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP12 = rf"""
 WITH texts AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(text, {_AZ}) AS body FROM documents WHERE text IS NOT NULL),
 pieces AS (SELECT lang, unnest(regexp_split_to_array(body, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
@@ -38,4 +50,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC
 SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
-SQL: dict[str, str] = {"op12_collocations": OP12, "op13_lexical_search": OP13}
+SQL: dict[str, str] = {"op11_automaton_dedup": OP11, "op12_collocations": OP12, "op13_lexical_search": OP13}

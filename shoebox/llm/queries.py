@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.llm import (
-    collocations, decontam, kneser_ney, langid, lexical_search, oracle, packing, quality_rules, simhash, site_quality, suffix_dedup,
+    automaton_dedup, collocations, decontam, kneser_ney, langid, lexical_search, oracle, packing, quality_rules, simhash, site_quality, suffix_dedup,
     token_files, toxicity,
 )
 from shoebox.llm.spark import crc_fold, table
@@ -82,6 +82,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_automaton_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 13-word windows of earlier documents leave of each of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return automaton_dedup.digest(docs, automaton_dedup.spans(docs))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language, from all documents."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
@@ -96,7 +102,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_kneser_ney, op2_site_quality, op3_token_files, op4_quality_rules, op5_language_id, op6_best_fit_packing,
-        op7_suffix_dedup, op8_decontamination, op9_toxicity, op10_simhash, op12_collocations, op13_lexical_search,
+        op7_suffix_dedup, op8_decontamination, op9_toxicity, op10_simhash,
+        op11_automaton_dedup, op12_collocations, op13_lexical_search,
     )
 }
 SQL: dict[str, str] = dict(oracle.SQL)
