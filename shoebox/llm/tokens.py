@@ -2,12 +2,14 @@
 
 The byte-level pre-tokenizer never joins text across an ASCII space or newline that stands alone between two
 other characters: the space opens the next token, the newline is one of its own. Cutting there leaves the ids as
-they are, so a piece (a word with its space, mostly) is encoded when first met and looked up afterwards.
+they are, so a piece (a word with its space, mostly) is encoded when first met and looked up afterwards. An added token that stands
+in a text is one id, as the library has it; it holds neither sign, so it stays in one piece. Other kinds of tokenizer take whole texts.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -27,9 +29,21 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def _cuttable(path: str) -> bool:
+    """Whether a text may be cut as above: byte-level merges alone, and added tokens that hold no white space and take none."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    before, model = made.get("pre_tokenizer") or {}, made["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    merges = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    added = made.get("added_tokens", [])
+    closed = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or set(t["content"]) & set(" \n") for t in added)
+    signs = all(_PLAIN.fullmatch(t["content"].encode()) is None for t in added)  # else a plain piece could be one
+    return bool(plain and merges and closed and signs and not made.get("normalizer"))
 
 
 @functools.lru_cache(maxsize=1)
@@ -125,6 +139,10 @@ def encode(raw: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray,
     """Ids of all texts of a slice, end to end, and the bounds of each text's ids."""
     if not len(raw):
         return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
+    if not _cuttable(path):
+        texts = [text.decoded(raw, a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        whole = [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate(whole), np.append(0, np.cumsum([len(x) for x in whole]))
     cuts = _cuts(raw, bounds)
     start, end = cuts[:-1], cuts[1:]
     key = text.span_hash(text.prefix(raw), start, end)

@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -14,11 +15,12 @@ from shoebox.llm import packing, simple8b, text, token_files, tokens
 from tests.llm.helpers import TOKENIZER, awkward, corpus, empty, frames
 
 
+LIBRARY = Tokenizer.from_file(TOKENIZER)
+
+
 @pytest.fixture(scope="module")
 def plain():
-    found = Tokenizer.from_file(TOKENIZER)
-    found.encode_special_tokens = True
-    return lambda body: found.encode(body or "", add_special_tokens=False).ids
+    return lambda body: LIBRARY.encode(body or "", add_special_tokens=False).ids
 
 
 def encoded(texts, limit=1 << 20):
@@ -33,13 +35,29 @@ def encoded(texts, limit=1 << 20):
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(alphabet=" \n\t\x0b 　\u0085ab'sZé!.1日🙂|", max_size=40), min_size=1, max_size=6))
 def test_ids_are_the_tokenizers(texts):
-    found = Tokenizer.from_file(TOKENIZER)
-    found.encode_special_tokens = True
-    assert encoded(texts, limit=30) == [found.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(texts, limit=30) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", " ", "  ", "\n", "a", "word", "'s", "!", "é", "\u3000"]), max_size=14))
+def test_added_tokens_are_one_id(parts):
+    body = "".join(parts)
+    assert encoded([body, body + "<|endoftext|>"]) == [LIBRARY.encode(t, add_special_tokens=False).ids for t in (body, body + "<|endoftext|>")]
+
+
+def test_other_tokenizers_take_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = Tokenizer.from_file(path)
+    texts = ["Some Words, in  lower\ncase", "", "<|startoftext|> a<|endoftext|>"]
+    raw = "".join(texts).encode()
+    bounds = np.append(0, np.cumsum([len(t.encode()) for t in texts]))
+    ids, upto = tokens.encode(np.frombuffer(raw, np.uint8), bounds, path)
+    assert [ids[a:b].tolist() for a, b in zip(upto[:-1], upto[1:])] == [found.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_long_pieces_and_special_strings(plain):
-    texts = ["<|endoftext|> a", "x" * 5000, "it's they'll\n's", None, "a b" * 3000]
+    assert plain("<|endoftext|> a") == [50256, 257]
+    texts = ["<|endoftext|> a", "a<|endoftext|>", "<|endoftext|><|endoftext|>", "x" * 300 + "<|endoftext|>", "x" * 5000, "it's they'll\n's", None, "a b" * 3000]
     assert encoded(texts) == [plain(t) for t in texts]
 
 
