@@ -20,6 +20,7 @@ BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 CAPS = (8, 10, 12, 15, 33)
 NO_CAP = 33
 SHIFT = np.uint64(60)
+_LENGTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 class Blocks(NamedTuple):
@@ -33,17 +34,34 @@ class Blocks(NamedTuple):
     cap: np.ndarray
 
 
-def _caps(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The cap of each block with the least estimated bits."""
-    cost = []
-    for cap in CAPS:
-        over = ids >= (1 << cap) - 1 if cap < NO_CAP else np.zeros(len(ids), bool)
-        held = np.where(over, cap, np.frexp(ids.astype(np.float64))[1])
-        slot = np.array(BITS)[np.searchsorted(BITS, np.maximum(held, 1))]
-        cost.append(np.add.reduceat(slot + 32 * over, first))
+def _lengths(ids: np.ndarray) -> np.ndarray:
+    """Bits of each id, 0 for 0."""
+    out = _LENGTHS[np.minimum(ids, len(_LENGTHS) - 1)]
+    wide = np.flatnonzero(ids >= len(_LENGTHS))
+    out[wide] = np.frexp(ids[wide].astype(np.float64))[1]
+    return out
+
+
+def _caps(lengths: np.ndarray, blocks: int) -> np.ndarray:
+    """The cap of each block with the least estimated bits, from how many ids it has of each length."""
+    block = np.repeat(np.arange(blocks), BLOCK)[: len(lengths)]
+    many = np.bincount(block * 33 + lengths, minlength=33 * blocks).reshape(-1, 33)
+    width = np.arange(33)
+    cost = [many @ (np.array(BITS)[np.searchsorted(BITS, np.clip(width, 1, cap))] + 32 * (width > cap)) for cap in CAPS]
     return np.array(CAPS, np.uint8)[np.argmin(np.array(cost), axis=0)]
 
 
+def _widest(bits: np.ndarray, known: dict[int, np.ndarray], size: int) -> np.ndarray:
+    """For each place of a row the most bits among it and the next ``size - 1`` places; rows end in ``SLOTS[0]`` places of padding."""
+    if size not in known:
+        half = _widest(bits, known, (size + 1) // 2)
+        out = half.copy()
+        shift = size - (size + 1) // 2
+        np.maximum(half[:, :-shift], half[:, shift:], out=out[:, :-shift])
+        known[size] = out
+    return known[size]
+
+
 def encode(ids: np.ndarray) -> Blocks:
     n = len(ids)
     if not n:
@@ -51,26 +69,28 @@ def encode(ids: np.ndarray) -> Blocks:
         return Blocks(np.zeros(0, np.uint64), np.zeros(0, np.uint32), none, none, none, np.zeros(0, np.uint8))
     first = np.arange(0, n, BLOCK)
     size = np.minimum(BLOCK, n - first)
-    cap = _caps(ids, first)
-    wide = ids.astype(np.uint64)
-    marker = (np.uint64(1) << np.repeat(cap, size).astype(np.uint64)) - np.uint64(1)
-    over = wide >= marker
-    held = np.where(over, marker, wide)
-    bits = np.frexp(held.astype(np.float64))[1]
-    end = np.repeat(first + size, size)
-    left = end - np.arange(n)
-    here = np.arange(n)
-    take, selector = np.zeros(n, np.int64), np.zeros(n, np.uint8)
-
-    def run(fits):
-        return np.minimum.accumulate(np.where(fits, n, here)[::-1])[::-1] - here
-
+    lengths = _lengths(ids)
+    cap = _caps(lengths, len(first))
+    marker = np.repeat((np.uint64(1) << cap.astype(np.uint64)) - np.uint64(1), size)
+    over = ids >= marker
+    held = np.where(over, marker, ids)
+    bits = np.where(over, np.repeat(cap, size), lengths)
+    # One row per block, padded by ids that fit everywhere: a word takes as many slots as all fit, or the rest of its block.
+    rows = np.zeros((len(first), BLOCK + SLOTS[0]), np.uint8)
+    padded = np.zeros(len(first) * BLOCK, np.uint8)
+    padded[:n] = bits
+    rows[:, :BLOCK] = padded.reshape(-1, BLOCK)
+    selector, known = np.zeros((len(first), BLOCK), np.uint8), {1: rows}
     for k in reversed(range(len(SLOTS))):  # from wide slots to narrow ones, so the most ids per word stay
-        possible = run(bits <= BITS[k]) >= np.minimum(SLOTS[k], left)
-        take[possible], selector[possible] = np.minimum(SLOTS[k], left)[possible], k + 1
-    zeros = np.minimum(run(held == 0), left)
-    longer = zeros > take
-    take[longer], selector[longer] = zeros[longer], 0
+        np.copyto(selector, k + 1, where=_widest(rows, known, SLOTS[k])[:, :BLOCK] <= BITS[k])
+    selector = selector.ravel()[:n]
+    take = np.minimum(np.array((0, *SLOTS))[selector], np.repeat(first + size, size) - np.arange(n))
+    if not known[SLOTS[0]][:, :BLOCK].all():  # zeros enough for a run of their own
+        here = np.arange(n)
+        zeros = np.minimum.accumulate(np.where(held == 0, n, here)[::-1])[::-1] - here
+        zeros = np.minimum(zeros, np.repeat(first + size, size) - here)
+        longer = zeros > take
+        take[longer], selector[longer] = zeros[longer], 0
     # All blocks step from word to word together.
     at, stop, visited = first.copy(), first + size, []
     live = np.arange(len(first))
@@ -111,10 +131,13 @@ def decode(blocks: Blocks) -> np.ndarray:
     for k in range(len(SLOTS)):
         mine = np.flatnonzero(selector == k + 1)
         if len(mine):
+            # Words that end a block may have empty slots.
+            whole = mine[full[mine] == SLOTS[k]]
             slot = np.arange(SLOTS[k])
-            value = (payload[mine][:, None] >> (slot * BITS[k]).astype(np.uint64)) & np.uint64((1 << BITS[k]) - 1)
-            inside = slot < full[mine][:, None]
-            out[(start[mine][:, None] + slot)[inside]] = value[inside]
+            low, shift = np.uint64((1 << BITS[k]) - 1), (slot * BITS[k]).astype(np.uint64)
+            out[start[whole][:, None] + slot] = (payload[whole][:, None] >> shift) & low
+            for w in mine[full[mine] < SLOTS[k]]:
+                out[start[w] : start[w] + full[w]] = (payload[w] >> shift[: full[w]]) & low
     marker = (np.uint64(1) << np.repeat(blocks.cap, blocks.n_ids).astype(np.uint64)) - np.uint64(1)
     out[out == marker] = blocks.escapes
     return out.astype(np.uint32)
