@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoebox import settings
+from shoebox.operators import first_come
 from shoebox.operators.hamming_join import candidates
 from shoebox.operators.running import last_before
 from shoebox.session import durable
 
+LINKS_PER_NODE = 64  # conflicts per hash beyond which clusters are thinned out first
 ORD_BITS = 56  # distance and order share one BIGINT, so their minimum is a plain hash aggregate
 ORD_ZERO = 1 << (ORD_BITS - 1)  # shifts negative order values into the unsigned range
 
@@ -206,79 +208,57 @@ def group_keep(
 
 
 def keep_in_order(
-    stored: DataFrame, fresh: DataFrame, threshold: int = settings.NEAR_THRESHOLD, **options
+    stored: DataFrame,
+    fresh: DataFrame,
+    threshold: int = settings.NEAR_THRESHOLD,
+    task_edges: int = first_come.TASK_EDGES,
+    **options,
 ) -> DataFrame:
     """Hashes that survive policy *discard*: the greedy choice in order of arrival.
 
     ``stored`` has ``bits``, ``ord`` (kept by definition, smaller than all fresh order values);
-    ``fresh`` has ``bits``, ``ord``; both one row per hash, without a common hash. A fresh hash
-    waits for its first earlier neighbour that has not been dropped: it is kept when there is
-    none, dropped when that neighbour is kept, and looks again when it is dropped. One witness
-    per hash is stored, never a neighbour list. Returns kept fresh rows (``bits``, ``ord``).
+    ``fresh`` has ``bits``, ``ord``; both one row per hash, without a common hash. What is near a
+    stored hash goes first. The conflicts of the rest are listed once and settled by components.
+    Before that, while they are many more than the hashes (a dense cluster), the hashes without an
+    earlier neighbour are kept and all their neighbours dropped. Returns kept fresh rows (``bits``, ``ord``).
     """
-    state = durable(
-        stored.select("bits", "ord", F.lit("kept").alias("state"), F.lit(None).cast("long").alias("witness"))
-        .unionByName(
-            fresh.select(
-                "bits", "ord", F.lit("ask").alias("state"), F.lit(None).cast("long").alias("witness")
-            )
+    nodes = fresh.select("bits", "ord")
+    if not stored.isEmpty():
+        near = candidates(*_sides(fresh, stored), "_bits", "_ibits", threshold, **options)
+        nodes = nodes.join(near.select(F.col("_ord").alias("ord")).distinct(), "ord", "left_anti")
+    nodes = durable(nodes)
+    settled: list[DataFrame] = []
+    while count := nodes.count():
+        later = candidates(*_sides(nodes, nodes), "_bits", "_ibits", threshold, **{"rows": count, **options}, subset=True)
+        waiting = durable(
+            later.where(F.col("_iord") < F.col("_ord")).groupBy(F.col("_ord").alias("ord")).agg(F.count("*").alias("_links"))
         )
+        links = waiting.agg(F.sum("_links")).first()[0] or 0
+        if not links:
+            settled.append(nodes)
+            break
+        asking = nodes.join(waiting.select("ord"), "ord", "left_semi")
+        if links <= max(LINKS_PER_NODE * count, task_edges):
+            pairs = candidates(*_sides(asking, nodes), "_bits", "_ibits", threshold, **{"rows": count, **options})
+            edges = pairs.where(F.col("_iord") < F.col("_ord")).select(F.col("_ord").alias("later"), F.col("_iord").alias("earlier"))
+            dropped = first_come.dropped_nodes(durable(edges.distinct()), task_edges)
+            settled.append(nodes.join(dropped, "ord", "left_anti").select("bits", "ord"))
+            break
+        roots = durable(nodes.join(waiting.select("ord"), "ord", "left_anti").select("bits", "ord"))
+        settled.append(roots)
+        hit = candidates(*_sides(asking, roots), "_bits", "_ibits", threshold, **options)
+        nodes = durable(asking.join(hit.select(F.col("_ord").alias("ord")).distinct(), "ord", "left_anti").select("bits", "ord"))
+    kept = settled[0] if settled else nodes
+    for more in settled[1:]:
+        kept = kept.unionByName(more)
+    return kept
+
+
+def _sides(probe: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (
+        probe.select(F.col("bits").alias("_bits"), F.col("ord").alias("_ord")),
+        index.select(F.col("bits").alias("_ibits"), F.col("ord").alias("_iord")),
     )
-    first_fresh = fresh.agg(F.min("ord")).first()[0]
-    if first_fresh is None:
-        return fresh.select("bits", "ord")
-    options = {"rows": state.count(), **options}
-    while True:
-        asking = state.where("state = 'ask'").select(
-            F.col("bits").alias("_bits"), F.col("ord").alias("_ord")
-        )
-        alive = state.where("state <> 'dropped'").select(
-            F.col("bits").alias("_ibits"), F.col("ord").alias("_iord")
-        )
-        found = (
-            candidates(asking, alive, "_bits", "_ibits", threshold, subset=True, **options)
-            .where(F.col("_iord") < F.col("_ord"))
-            .groupBy("_ord")
-            .agg(F.min("_iord").alias("_found"))
-        )
-        asked = F.col("state") == "ask"
-        state = durable(
-            state.join(found, F.col("ord") == F.col("_ord"), "left").select(
-                "bits",
-                "ord",
-                F.when(asked & F.col("_found").isNull(), "kept")
-                .when(asked, "wait")
-                .otherwise(F.col("state"))
-                .alias("state"),
-                F.when(asked, F.col("_found")).otherwise(F.col("witness")).alias("witness"),
-            )
-        )
-        # Let decisions travel along the witnesses until someone has to look again.
-        while True:
-            seen = state.select(F.col("ord").alias("_word"), F.col("state").alias("_wstate"))
-            waiting = state.where("state = 'wait'").join(
-                seen, F.col("witness") == F.col("_word")
-            )
-            decided = waiting.select(
-                "bits",
-                "ord",
-                F.when(F.col("_wstate") == "kept", "dropped")
-                .when(F.col("_wstate") == "dropped", "ask")
-                .otherwise("wait")
-                .alias("state"),
-                "witness",
-            )
-            state = durable(state.where("state <> 'wait'").unionByName(decided))
-            counts = state.agg(
-                F.count_if(F.col("state") == "ask").alias("ask"),
-                F.count_if(F.col("state") == "wait").alias("wait"),
-            ).first()
-            if counts["ask"] or not counts["wait"]:
-                break
-        if not counts["ask"]:
-            return state.where((F.col("state") == "kept") & (F.col("ord") >= F.lit(first_fresh))).select(
-                "bits", "ord"
-            )
 
 
 def assign_similar(

@@ -6,6 +6,7 @@ all others by path. Every rule below then equals a one-by-one run in that order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from shoebox import settings
 from shoebox.functions.bits import hex_to_bits
 from shoebox.operators import exact, near_dup
 from shoebox.operators.filters import is_stored
+from shoebox.operators.narrow import narrowed
 from shoebox.session import dense_order, durable
 
 
@@ -47,10 +49,16 @@ def decide(
     content: DataFrame,
     policy: str = settings.DEFAULT_POLICY,
     threshold: int = settings.NEAR_THRESHOLD,
+    near: Callable[[DataFrame], DataFrame] | None = None,
     **options,
 ) -> Decisions:
-    """Exact lookup first, near match only for the rest; new ids follow the order of arrival."""
-    rows = in_order(facts, content)
+    """Exact lookup first, near match only for the rest; new ids follow the order of arrival.
+
+    ``facts`` is a durable table. ``near`` names the stored contents (``id``) near any of given ``bits``, as a durable
+    table; without it all are compared.
+    """
+    known = durable(narrowed(content, facts, "sha256_hex"))
+    rows = in_order(facts, known)
     last_id = content.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
     unknown = rows.where(F.col("content_id").isNull())
     first = unknown.groupBy("sha256_hex").agg(F.min("ord").alias("ord")).select("ord")
@@ -60,8 +68,9 @@ def decide(
         fresh = durable(fresh)
         # Contents resumed in this batch come first in the order, so they count as stored here.
         resumed = rows.where("resumes").select(F.col("content_id").alias("id"))
-        held = content.where(is_stored()).select("id", "phash").unionByName(
-            content.join(resumed, "id", "left_semi").select("id", "phash")
+        around = content if near is None else narrowed(content, near(durable(unknown.select("bits").distinct())), "id")
+        held = around.where(is_stored()).select("id", "phash").unionByName(
+            known.join(resumed, "id", "left_semi").select("id", "phash")
         )
         stored = held.groupBy(hex_to_bits("phash").alias("bits")).agg(
             (F.min("id") - F.lit(last_id + 1)).alias("ord"), F.max("id").alias("content_id")

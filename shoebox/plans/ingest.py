@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from shoebox import settings
 from shoebox.functions.bits import hex_to_bits
 from shoebox.functions.paths import object_key
-from shoebox.operators import exact, filters, folders, lifecycle, near_dup, parts, stats
+from shoebox.operators import exact, filters, folders, hash_index, lifecycle, near_dup, parts, stats
 from shoebox.operators.embedding import Encoder, embed_queries, encode_each
+from shoebox.operators.narrow import narrowed
 from shoebox.operators.search import search as vector_search
 from shoebox.plans.decide import decide
 from shoebox.session import dense_order, durable
@@ -29,6 +30,7 @@ from shoebox.sources.catalog import Catalog, one_version
 from shoebox.sources.storage import plain
 
 ENCODE_ROWS = 16  # pictures handed to the model at once
+INDEX_SETS = 16  # appended sets of the hash index before they are rebuilt as one
 
 
 @dataclass
@@ -60,21 +62,20 @@ def _now() -> Column:
 
 
 def _update(content: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace the changed columns of contents by ``id``; unknown ids are added."""
+    """The contents with the changed columns replaced by ``id``."""
     changed = [c for c in changes.columns if c != "id"]
     new = changes.select(F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in changed])
-    joined = content.join(new, F.col("id") == F.col("_id"), "full_outer")
     touched = F.col("_id").isNotNull()
-    return joined.select(
-        F.coalesce("id", "_id").alias("id"),
-        *[
-            (F.when(touched, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c))
-            for c in content.columns
-            if c != "id"
-        ],
+    return content.join(new, F.col("id") == F.col("_id"), "left").select(
+        *[(F.when(touched, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changed else F.col(c)) for c in content.columns]
     )
 
 
+def _changed(content: DataFrame, changes: DataFrame) -> DataFrame:
+    """The rows of the contents that change, after it. ``changes`` is a durable table."""
+    return _update(narrowed(content, changes, "id"), changes)
+
+
 @one_version
 def ensure_folder(lib: Library, path: str, title: str | None = None) -> int:
     """Id of the synced folder ``path``, registering it on first use."""
@@ -223,29 +224,47 @@ def embed_contents(lib: Library, sources: DataFrame, force: bool = False) -> Dat
     if lib.encoder is None:
         return nothing
     content, vectors = lib.table("content"), lib.table("vectors")
-    has = vectors.select("id", F.lit(True).alias("embedding"))
-    state = content.select("id", "status", "s3_path").join(has, "id", "left")
+    sources = durable(sources)
+    has = narrowed(vectors.select("id"), sources, "id").withColumn("embedding", F.lit(True))
+    state = narrowed(content.select("id", "status", "s3_path"), sources, "id").join(has, "id", "left")
     todo = durable(sources.join(state.where(filters.is_stored() | (F.col("status") == "ERROR"))
                                 .where(filters.needs_embedding(force=force)), "id"))
     if todo.isEmpty():
         return nothing
     # The rows under work are on record first: a run that dies here leaves INDEXING behind.
-    lib.catalog.commit(
-        replace={"content": _update(content, todo.select("id", F.lit("INDEXING").alias("status")))}
-    )
+    lib.catalog.commit(upsert={"content": _changed(content, todo.select("id", F.lit("INDEXING").alias("status")))})
     encoded = durable(_encode_files(todo.select("id", "path", "file_size"), lib.encoder))
     ok = F.col("embedding").isNotNull()
     status = lifecycle.after_embedding(F.lit("INDEXING"), F.lit(True), ok)
-    changed = _update(lib.table("content"), encoded.select("id", status.alias("status")))
+    changed = _changed(lib.table("content"), encoded.select("id", status.alias("status")))
     new = encoded.where(ok).join(todo.select("id", "s3_path"), "id").select("id", "s3_path", "embedding")
-    kept = vectors.join(new.select("id"), "id", "left_anti")
     if force:
-        lib.catalog.commit(replace={"content": changed, "vectors": kept.unionByName(new)})
+        kept = narrowed(vectors, durable(new.select("id")), "id", outside=True)
+        lib.catalog.commit(replace={"vectors": kept.unionByName(new)}, upsert={"content": changed})
     else:
-        lib.catalog.commit(replace={"content": changed}, append={"vectors": new})
+        lib.catalog.commit(append={"vectors": new}, upsert={"content": changed})
     return encoded.select("id", "error")
 
 
+def _near_stored(lib: Library, probes: DataFrame) -> DataFrame:
+    """Ids of the contents near any of the hashes, by the stored index; a library without one is keyed whole first."""
+    if not lib.catalog.folders("hashes"):
+        every = lib.table("content").where(filters.is_stored() | F.col("uploaded_at").isNotNull())
+        every = every.select("id", hex_to_bits("phash").alias("bits"))
+        if every.isEmpty():
+            return lib.table("hashes").select("id")
+        lib.catalog.commit(append={"hashes": hash_index.index_rows(durable(every))})
+    return durable(hash_index.near(lib.table("hashes"), probes, lib.threshold).select("id"))
+
+
+def _index_changes(lib: Library, added: DataFrame) -> dict[str, dict[str, DataFrame]]:
+    """What a commit does to the hash index: a set more, or all sets as one."""
+    if not lib.catalog.folders("hashes") or lib.catalog.folders("hashes") < INDEX_SETS:
+        return {"append": {"hashes": hash_index.index_rows(added)}}
+    every = durable(hash_index.all_hashes(lib.table("hashes")).unionByName(added))
+    return {"replace": {"hashes": hash_index.index_rows(every)}}
+
+
 @one_version
 def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, policy: str | None = None) -> DataFrame:
     """Bring files with known facts into the library. Returns ``path``, ``outcome``, ``error``."""
@@ -255,7 +274,7 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
     failed = facts.where("error is not null").select("path", "error")
     good = facts.where("error is null").drop("error")
     content, files = lib.table("content"), lib.table("files")
-    decided = decide(good, content, policy, lib.threshold)
+    decided = decide(good, content, policy, lib.threshold, near=lambda probes: _near_stored(lib, probes))
     batch, wanted = decided.files, durable(decided.to_store)
 
     # 1. New and resumed contents are on record as UPLOADING before their bytes move.
@@ -269,8 +288,7 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
     reopened = wanted.where("not is_new").select("id", F.lit("UPLOADING").alias("status"))
     counts = wanted.agg(F.count("*").alias("all"), F.count_if("is_new").alias("new")).first()
     if counts["all"]:
-        content_open = _update(content, reopened).unionByName(opened)
-        catalog.commit(replace={"content": content_open})
+        catalog.commit(upsert={"content": _changed(content, durable(reopened)).unionByName(opened)})
         content = lib.table("content")
         stored = _store(lib, wanted)
     else:
@@ -281,23 +299,30 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
     uploaded = wanted.join(good_ids, "id", "left_semi").select(
         "id", F.col("file_size").alias("uploaded_bytes"), _now().alias("uploaded_at"), F.lit("UPLOADED").alias("status")
     )
-    updated = _update(content, uploaded)
-    if policy == "keep" and counts["new"]:
-        fresh = wanted.where("is_new").join(good_ids, "id", "left_semi").select("id", "bits")
-        arriving = fresh.select("id")
-        held = updated.where(filters.is_stored()).join(arriving, "id", "left_anti").select(
+    arrived = durable(wanted.join(good_ids, "id", "left_semi").select("id", "bits", "is_new"))
+    fresh = arrived.where("is_new").select("id", "bits")
+    touched = arrived.select("id")
+    grouping = policy == "keep" and counts["new"]
+    if grouping:
+        # Only stored contents near a new one have a part in its group: those of the index, and what this batch resumed.
+        touched = durable(_near_stored(lib, fresh.select("bits")).unionByName(touched).distinct())
+    updated = durable(_update(narrowed(content, touched, "id"), uploaded))
+    if grouping:
+        held = updated.where(filters.is_stored()).join(fresh.select("id"), "id", "left_anti").select(
             "id", hex_to_bits("phash").alias("bits"), "dup_group"
         )
-        labels = near_dup.group_keep(held, fresh, lib.threshold)
-        updated = _update(
-            updated, labels.join(updated.select("id", F.col("near_dup_distance").alias("_old")), "id").select(
-                "id", "dup_group", F.coalesce("near_dup_distance", "_old").alias("near_dup_distance")
-            )
+        labels = durable(near_dup.group_keep(held, fresh, lib.threshold))
+        labelled = labels.join(updated.select("id", F.col("near_dup_distance").alias("_old")), "id").select(
+            "id", "dup_group", F.coalesce("near_dup_distance", "_old").alias("near_dup_distance")
         )
+        now = arrived.select("id").unionByName(labels.select("id")).distinct()
+        updated = _update(updated, labelled).join(now, "id", "left_semi")
     bad_ids = stored.where("error is not null").select(F.col("id").alias("content_id"), F.col("error").alias("store_error"))
     judged = durable(batch.join(bad_ids, "content_id", "left"))
     recorded = judged.where("store_error is null").drop("store_error")
-    typed = exact.classify(recorded, files, F.col("is_first"), F.col("is_similar"))
+    by_path = durable(narrowed(files, recorded.select(F.col("path").alias("local_path")), "local_path"))
+    by_content = narrowed(files, recorded, "content_id").join(by_path.select("id"), "id", "left_anti")
+    typed = exact.classify(recorded, by_path.unionByName(by_content), F.col("is_first"), F.col("is_similar"))
     if parent_id is None:
         known = lib.table("synced_folders")
         with_orphan = durable(folders.with_orphan_folder(known, _now()))
@@ -307,18 +332,19 @@ def ingest_facts(lib: Library, facts: DataFrame, parent_id: int | None = None, p
         owned = typed.withColumn("parent_folder_id", F.lit(parent_id).cast("long"))
     owned = durable(owned)
     last = files.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0]
-    added = owned.join(files.select(F.col("local_path").alias("path")), "path", "left_anti").select("ord")
+    added = owned.join(by_path.select(F.col("local_path").alias("path")), "path", "left_anti").select("ord")
     numbered = dense_order(added, "ord", name="id", start=last + 1)
     rows = owned.join(numbered, "ord", "left").withColumn("discovered_at", _now())
-    new_files = exact.upsert_files(files, rows)
-    replace = {"content": updated, "files": new_files}
+    replace, upsert = {}, {"content": updated, "files": exact.upsert_files(by_path, rows)}
     if with_orphan is not None:
         orphan = with_orphan.where(F.col("parent_folder_path") == settings.ORPHAN_PATH).select(
             F.col("id").alias("parent_folder_id")
         )
         if not owned.join(orphan, "parent_folder_id", "left_semi").isEmpty():
             replace["synced_folders"] = with_orphan
-    catalog.commit(replace=replace)
+    # A content is a match from the moment it counts as stored: its hash enters the index in the same commit.
+    index = {} if arrived.isEmpty() else _index_changes(lib, arrived.select("id", "bits"))
+    catalog.commit(replace={**replace, **index.get("replace", {})}, append=index.get("append"), upsert=upsert)
 
     # 3. Vectors: from the content's own bytes, never from a merely similar picture.
     own = owned.where("not is_similar").groupBy(F.col("content_id").alias("id")).agg(
@@ -361,11 +387,10 @@ def ingest_file(lib: Library, path: str, parent_id: int | None = None, policy: s
 @one_version
 def _mark_back(lib: Library, listed: DataFrame) -> None:
     files = lib.table("files")
-    back = durable(files.where("not present_locally").join(listed.select(F.col("path").alias("local_path")), "local_path", "left_semi").select("id"))
+    gone = files.where("not present_locally")
+    back = durable(gone.join(listed.select(F.col("path").alias("local_path")), "local_path", "left_semi"))
     if not back.isEmpty():
-        seen = back.withColumn("_back", F.lit(True))
-        marked = files.join(seen, "id", "left").withColumn("present_locally", F.coalesce("_back", "present_locally"))
-        lib.catalog.commit(replace={"files": marked.select(*files.columns)})
+        lib.catalog.commit(upsert={"files": back.withColumn("present_locally", F.lit(True))})
 
 
 def sync_folder(lib: Library, root: str, title: str | None = None, policy: str | None = None) -> DataFrame:
@@ -439,5 +464,5 @@ def mark_missing(lib: Library, root: str) -> int:
     files = lib.table("files")
     below = files.where(F.col("local_path").startswith(plain(root).rstrip("/") + "/"))
     seen = scan.stat_paths(below.select(F.col("local_path").alias("path"))).select(F.col("path").alias("local_path"), "found")
-    marked = files.join(seen, "local_path", "left").withColumn("present_locally", F.coalesce("found", "present_locally"))
-    return lib.catalog.commit(replace={"files": marked.select(*files.columns)})
+    marked = below.join(seen, "local_path").where(F.col("found") != F.col("present_locally"))
+    return lib.catalog.commit(upsert={"files": marked.withColumn("present_locally", F.col("found")).select(*files.columns)})

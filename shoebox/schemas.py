@@ -76,6 +76,14 @@ CHANGES = T.StructType([
     T.StructField("kind", T.StringType()),
 ])
 
+HASHES = T.StructType([
+    T.StructField("id", T.LongType()),
+    T.StructField("bits", T.LongType()),
+    T.StructField("of", T.IntegerType()),
+    T.StructField("mask", T.IntegerType()),
+    T.StructField("bucket", T.IntegerType()),
+])
+
 TABLES = {
     "content": CONTENT,
     "vectors": VECTORS,
@@ -83,4 +91,11 @@ TABLES = {
     "synced_folders": FOLDERS,
     "uploads": UPLOADS,
     "upload_parts": UPLOAD_PARTS,
+    "hashes": HASHES,
 }
+
+# Tables kept in hash buckets of this column, their key: a commit writes the buckets it touches.
+BUCKETED = {"content": "id", "files": "local_path"}
+
+# Tables whose folders are cut further, by these columns.
+PARTITIONED = {"hashes": ("of", "mask", "bucket")}

@@ -111,6 +111,21 @@ roots AS (SELECT id, min(anc) AS root FROM walk GROUP BY id)
 SELECT id, root AS dup_group, distance AS near_dup_distance FROM matched JOIN roots USING (id)
 UNION ALL SELECT DISTINCT root, root, CAST(NULL AS INTEGER) FROM roots"""
 
+# What each content holds, and how many files beyond the original refer to it.
+PER_CONTENT = """per_content AS (
+          SELECT c.id, any_value(c.uploaded_bytes) AS bytes, sum(CASE f.image_type WHEN 'ORIGINAL' THEN 0 ELSE 1 END) AS copies
+          FROM files f INNER JOIN content c ON c.id = f.content_id GROUP BY c.id)"""
+
+NEAR_STORED = f"""WITH {PICTURES},
+    docs AS (SELECT p.*, l.doc_id IS NOT NULL AS labelled
+             FROM pictures p LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
+    stored AS (SELECT sha, min(doc_id) AS id, min(b) AS b FROM docs WHERE labelled GROUP BY sha),
+    nodes AS (SELECT b, min(id) AS o, max(id) AS content_id FROM stored GROUP BY b)
+    SELECT doc_id, arg_min(content_id, d::BIGINT * 1000000000 + o) AS content_id,
+           CAST(min(d) AS INTEGER) AS distance
+    FROM (SELECT doc_id, content_id, o, bit_count(xor(x.b, n.b)) AS d FROM docs x, nodes n
+          WHERE NOT labelled AND bit_count(xor(x.b, n.b)) <= 5) GROUP BY doc_id"""
+
 SQL = {
     "content_hash": "SELECT doc_id, sha256(text) AS sha256_hex FROM documents",
     "mime_type": """SELECT doc_id,
@@ -173,15 +188,8 @@ SQL = {
                count(*) FILTER (WHERE known) AS skipped,
                count(*) FILTER (WHERE NOT known AND kind = 'error') AS errors FROM scan""",
     "near_dup_match": f"WITH {PICTURES}, {NEAREST} SELECT id, matched_id, distance FROM matched",
-    "near_dup_stored": f"""WITH {PICTURES},
-        docs AS (SELECT p.*, l.doc_id IS NOT NULL AS labelled
-                 FROM pictures p LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)),
-        stored AS (SELECT sha, min(doc_id) AS id, min(b) AS b FROM docs WHERE labelled GROUP BY sha),
-        nodes AS (SELECT b, min(id) AS o, max(id) AS content_id FROM stored GROUP BY b)
-        SELECT doc_id, arg_min(content_id, d::BIGINT * 1000000000 + o) AS content_id,
-               CAST(min(d) AS INTEGER) AS distance
-        FROM (SELECT doc_id, content_id, o, bit_count(xor(x.b, n.b)) AS d FROM docs x, nodes n
-              WHERE NOT labelled AND bit_count(xor(x.b, n.b)) <= 5) GROUP BY doc_id""",
+    "near_dup_stored": NEAR_STORED,
+    "near_dup_indexed": NEAR_STORED,
     "dup_groups": f"WITH RECURSIVE {PICTURES}, {NEAREST}, {WALK}",
     "dup_groups_incremental": f"""WITH RECURSIVE {PICTURES},
         per_sha AS MATERIALIZED (
@@ -224,17 +232,15 @@ SQL = {
         SELECT CASE WHEN known THEN n ELSE n + (SELECT count(*) FROM named WHERE known) END AS id,
           path AS parent_folder_path,
           CASE WHEN known THEN 'known' ELSE regexp_extract(path, '([^/]*)$', 1) END AS title FROM named""",
-    "library_stats": f"""WITH {STORE} SELECT
+    "library_stats": f"""WITH {STORE}, {PER_CONTENT} SELECT
         (SELECT count(*) FROM content) AS total_content, (SELECT count(*) FROM files) AS total_files,
         (SELECT count(*) FROM files WHERE image_type IN ('DUPLICATE', 'SIMILAR')) AS dupes,
         CAST((SELECT coalesce(sum(uploaded_bytes), 0) FROM content WHERE status = 'INDEXED') AS BIGINT) AS stored_bytes,
-        CAST((SELECT coalesce(sum(uploaded_bytes), 0) FROM content c WHERE EXISTS (SELECT 1 FROM files f
-          WHERE f.content_id = c.id AND f.image_type IN ('DUPLICATE', 'SIMILAR'))) AS BIGINT) AS saved_bytes,
+        CAST((SELECT coalesce(sum(bytes), 0) FROM per_content WHERE copies > 0) AS BIGINT) AS saved_bytes,
         (SELECT count(*) FROM content WHERE dup_group IS NOT NULL) AS near_dup_count,
         (SELECT count(*) FROM content WHERE status = 'INDEXED') AS indexed""",
-    "saved_bytes": f"""WITH {STORE} SELECT CAST(coalesce(sum(uploaded_bytes), 0) AS BIGINT) AS saved_bytes
-        FROM content c WHERE EXISTS (SELECT 1 FROM files f
-          WHERE f.content_id = c.id AND f.image_type IN ('DUPLICATE', 'SIMILAR'))""",
+    "saved_bytes": f"""WITH {STORE}, {PER_CONTENT}
+        SELECT CAST(coalesce(sum(CASE WHEN copies > 0 THEN bytes END), 0) AS BIGINT) AS saved_bytes FROM per_content""",
     "library_stats_ext": """SELECT strftime((SELECT max(o_orderdate) FROM orders), '%Y-%m-%d') AS last_upload,
         CAST((SELECT sum(len(embedding) * 4) FROM embeddings) AS BIGINT) AS index_bytes""",
     "status_rollup": """WITH s AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'PENDING'

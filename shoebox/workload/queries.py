@@ -6,16 +6,16 @@ import math
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox import settings
 from shoebox.functions import paths, vectors as vec
 from shoebox.functions.bits import hamming_hex
-from shoebox.operators import checks, exact, folders, near_dup, parts, stats
+from shoebox.operators import checks, exact, folders, hash_index, near_dup, parts, stats
 from shoebox.operators import embedding, filters, lifecycle, search
-from shoebox.operators.hamming_join import candidates
-from shoebox.session import dense_order, durable
+from shoebox.session import dense_order, durable, shared_dir
+from shoebox.sources.catalog import Catalog
 from shoebox.streaming import changes as change_stream
 from shoebox.workload import tables as t
 
@@ -217,6 +217,22 @@ def near_dup_stored(spark, sf):
     return probes.join(found, "bits").select(F.col("ord").alias("doc_id"), "content_id", "distance")
 
 
+@query
+def near_dup_indexed(spark, sf):
+    """The same match through a stored index: two batches of hashes appended, looked up by the documents without a label."""
+    docs = t.pictures(spark, sf)
+    labels = t.table(spark, sf, "labels").select(F.col("doc_id").alias("ord")).distinct()
+    docs = durable(docs.join(labels.withColumn("_labelled", F.lit(True)), "ord", "left"))
+    stored = durable(docs.where("_labelled").groupBy("sha256_hex").agg(F.min("ord").alias("id"), F.min("bits").alias("bits")))
+    catalog = Catalog(spark, f"{shared_dir(spark)}/shoebox/library-{uuid.uuid4().hex}")
+    for batch in (stored.where("id % 2 = 0"), stored.where("id % 2 = 1")):
+        catalog.commit(append={"hashes": hash_index.index_rows(batch)})
+    probes = docs.where("_labelled is null")
+    around = durable(hash_index.near(catalog.read("hashes"), probes))
+    found = near_dup.match_stored(probes, around)
+    return probes.join(found, "bits").select(F.col("ord").alias("doc_id"), "content_id", "distance")
+
+
 @query
 def dup_groups(spark, sf):
     fresh = t.contents(spark, sf)

@@ -123,8 +123,9 @@ def test_folder_owner(spark):
 
 
 def test_incremental_and_missing(spark):
+    # Times differ from the microsecond on.
     known = spark.createDataFrame([("/a", NOON, True), ("/b", NOON, True), ("/gone", NOON, True)], "local_path string, disk_mtime timestamp, present_locally boolean")
-    scan = spark.createDataFrame([("/a", NOON + timedelta(microseconds=300)), ("/b", NOON + timedelta(milliseconds=2)), ("/new", NOON)], "path string, disk_mtime timestamp")
+    scan = spark.createDataFrame([("/a", NOON), ("/b", NOON + timedelta(microseconds=1)), ("/new", NOON)], "path string, disk_mtime timestamp")
     assert rows(exact.incremental(scan, known), "path") == [("/b",), ("/new",)]
     assert rows(exact.missing_files(scan, known), "local_path") == [("/gone",)]
     assert rows(exact.mark_missing(scan, known), "local_path", "present_locally") == [("/a", True), ("/b", True), ("/gone", False)]
@@ -143,7 +144,7 @@ def test_upsert_branches(spark):
     same, moved, fresh = got["/same"], got["/moved"], got["/fresh"]
     assert (same["sha256_hex"], same["file_size"], same["disk_mtime"], same["image_type"], same["parent_folder_id"]) == ("s1", 5, later, "ORIGINAL", 3)
     assert (moved["id"], moved["sha256_hex"], moved["content_id"], moved["image_type"], moved["parent_folder_id"], moved["discovered_at"]) == (2, "y", 7, "DUPLICATE", 3, NOON)
-    assert moved["present_locally"] is False
+    assert moved["present_locally"] is True  # an ingested file is there, whatever was on record
     assert (fresh["id"], fresh["parent_folder_id"], fresh["present_locally"]) == (9, 4, True)
     assert got["/untouched"]["file_size"] == 1 and len(got) == 4
 
