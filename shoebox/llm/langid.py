@@ -29,6 +29,7 @@ from shoebox.llm import text
 DIMENSIONS = 1024
 GRAM = 3
 BLOCK = 2048
+OWNERS = 512  # documents whose vectors are held at once
 UNKNOWN = "und"
 SPACE = 32
 
@@ -119,6 +120,14 @@ def _bundles(part: text.Slice, owner: np.ndarray, owners: int, size: int, gram:
     return out
 
 
+def _few(part: text.Slice) -> Iterator[text.Slice]:
+    """A slice of many short documents in slices of at most ``OWNERS``: each document has a vector of its own."""
+    for low in range(0, part.last - part.first, OWNERS):
+        high = min(low + OWNERS, part.last - part.first)
+        a, b = part.bounds[low], part.bounds[high]
+        yield text.Slice(part.first + low, part.first + high, part.raw[a:b], part.bounds[low : high + 1] - a, part.null[low:high])
+
+
 def fit(examples: DataFrame, size: int = DIMENSIONS, gram: int = GRAM) -> Profiles:
     """Prototypes from columns text and lang."""
 
@@ -152,7 +161,7 @@ def predict(rows: DataFrame, profiles: Profiles, gram: int = GRAM) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            for part in text.slices(batch):
+            for part in (few for some in text.slices(batch) for few in _few(some)):
                 docs = part.last - part.first
                 bundle = _bundles(part, np.arange(docs + 1), docs + 1, vectors.shape[1] if names else 1, gram)[:docs]
                 length = np.linalg.norm(bundle, axis=1)

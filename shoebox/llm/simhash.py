@@ -136,9 +136,14 @@ def components(pairs: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
 
 
-def classes(rows: DataFrame, shingle: int, distance: int, root: str | None = None) -> DataFrame:
-    """doc_id, fp (signed long) and component_id of every row with doc_id and text; the component's root fingerprint as ``root``."""
+def classes(rows: DataFrame, shingle: int, distance: int) -> DataFrame:
+    """doc_id, fp (signed long) and component_id of every row with doc_id and text."""
     marked = durable(fingerprints(rows.select(F.col("doc_id").cast("long"), "text"), shingle))
+    return grouped(marked, distance).select("doc_id", "fp", "component_id")
+
+
+def grouped(marked: DataFrame, distance: int) -> DataFrame:
+    """The rows of a durable table with doc_id and fp, with component_id and ``root``, a fingerprint that the component has for its own."""
     values = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(values.select("fp"), distance)).withColumnRenamed("node", "fp")
     rooted = durable(values.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
@@ -146,8 +151,7 @@ def classes(rows: DataFrame, shingle: int, distance: int, root: str | None = Non
     linked = rooted.join(roots.select(F.col("root")).distinct(), "root", "left_semi")
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = durable(rooted.join(named, "root", "left").select("fp", "rows", "root", F.coalesce("component_id", "least").alias("component_id")))
-    shown = ["doc_id", "fp", "component_id", *([F.col("root").alias(root)] if root else [])]
-    return lookup(marked, named, "fp", "rows").select(*shown)
+    return lookup(marked, named, "fp", "rows").select(*marked.columns, "component_id", "root")
 
 
 def hexed(fp: Column) -> Column:
