@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoebox.llm import decontam, langid, packing, simhash, suffix_dedup
-from shoebox.llm.spark import bounded_batches, crc_fold, table
+from shoebox.llm.spark import bounded_batches, crc_fold, lookup, table
 from shoebox.session import durable
 
 LEAST_SCORE = 0.05
@@ -25,7 +25,8 @@ SHINGLE = 3
 DISTANCE = 3
 SEQUENCE = 1024
 END_ID = 2
-WORKING = ("lang_pred", "score", "fp", "spans", "leaks", "body", "_id", "_fp", "_body")
+FEW_KEYS = 1_000_000  # ids and hashes that are broadcast, 16 bytes each
+WORKING = ("lang_pred", "score", "fp", "spans", "leaks", "body", "_id", "_fp", "_body", "root", "component_id")
 
 
 def _aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -43,18 +44,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).where(known).select(*columns).withColumnsRenamed(back)
 
 
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose id and text are not among ``keys`` (``_id``, ``_body``); few keys are broadcast, after counting them, so no text moves."""
+    same = docs["doc_id"].eqNullSafe(keys["_id"]) & (F.xxhash64(docs["text"]) == keys["_body"])
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return docs.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), same, "left_anti")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     docs, back = _aside(docs)
     columns = docs.columns
-    found = simhash.classes(docs.select("doc_id", "text"), SHINGLE, DISTANCE, root="root")
-    # One (id, fingerprint) per component; only short rows are grouped.
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp")).alias("first"))
-    winners = first.select(F.col("first.doc_id").alias("_id"), F.col("first.fp").alias("_fp"))
-    rows = simhash.fingerprints(docs, SHINGLE, keep_text=True)
-    same = rows["doc_id"].eqNullSafe(winners["_id"]) & (rows["fp"] == winners["_fp"])
-    # Short rows are hashed; texts are not sorted for the join.
-    return rows.join(winners.hint("shuffle_hash"), same).dropDuplicates(["doc_id", "fp"]).select(*columns).withColumnsRenamed(back)
+    body = F.xxhash64("text").alias("_body")
+    marked = durable(simhash.fingerprints(docs.select(F.col("doc_id").alias("_id"), F.col("doc_id").cast("long"), body, "text"), SHINGLE))
+    found = durable(simhash.grouped(marked, DISTANCE))
+    # One id and text per component stays; the rest are known by theirs. Only short rows are grouped.
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_body")).alias("first")
+    first = found.groupBy("root").agg(least, F.count("*").alias("rows"))
+    judged = lookup(found, first, "root", "rows")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_body") == F.col("first._body"))
+    rows = durable(judged.select("_id", "_body", stays.alias("stays")))
+    left = _without(docs, durable(rows.where("not stays").select("_id", "_body").distinct()))
+    # Rows that repeat id and text are one document.
+    twice = durable(rows.where("stays").groupBy("_id", "_body").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if not twice.isEmpty():
+        again = left.join(twice, left["doc_id"].eqNullSafe(twice["_id"]) & (F.xxhash64("text") == twice["_body"]), "left_semi")
+        left = _without(left, twice).unionByName(again.dropDuplicates(["doc_id", "text"]))
+    return left.select(*columns).withColumnsRenamed(back)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
