@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -111,7 +110,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataF
 def _pack(rows: DataFrame, parts: int, turn: int, capacity: int) -> DataFrame:
     """Deal the rows over ``parts`` partitions and pack each."""
 
-    def task(rows: pd.DataFrame) -> pd.DataFrame:
+    def task(rows):
         rows = rows.sort_values("row", kind="stable")
         bins, offsets, slack = best_fit(rows["length"].to_numpy(), capacity)
         gap = len(slack) - lower_bound(rows["length"].to_numpy(), capacity)

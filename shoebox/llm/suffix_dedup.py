@@ -38,7 +38,7 @@ LENGTH = 50
 GRAM = 16
 LEFT = LENGTH - GRAM
 WIDTH = LEFT + LENGTH
-FLUSH = 24 << 20  # bytes of segments a task holds
+FLUSH = 12 << 20  # bytes of segments a task holds
 NULL_ID = np.iinfo(np.int64).max
 PLACE_BITS = np.uint64(28)  # a text of up to 256 MiB; the rest of 64 bits ranks the anchors
 SPANS = "doc_id long, body long, spans array<bigint>"

@@ -20,7 +20,7 @@ from shoebox.llm import text
 
 # A space, Latin letters, then signs without the apostrophe: two pre-tokens, whatever stands around them.
 _PLAIN = re.compile(rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-KNOWN_PIECES = 1_500_000  # a worker forgets its pieces beyond this many
+KNOWN_PIECES = 400_000  # a worker forgets its pieces beyond this many, some 50 MB; rare ones seldom come back
 LONG_PIECE = 256  # longer pieces are encoded where they stand
 
 
