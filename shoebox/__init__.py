@@ -1,32 +1,31 @@
-"""shoebox: media library analytics as Spark jobs."""
+"""shoebox: media library analytics as Spark jobs.
 
-from shoebox.operators.search import more_like_this, search, search_batch
-from shoebox.operators.stats import library_stats
-from shoebox.plans.ingest import (
-    Library,
-    ingest_file,
-    ingest_paths,
-    mark_missing,
-    recover,
-    search_text,
-    statistics,
-    sync_folder,
-)
-from shoebox.streaming.watch import watch_changes, watch_folder
+Names are looked up when first asked for: a worker that needs one module of the package does not load the others.
+"""
 
-__all__ = [
-    "Library",
-    "ingest_file",
-    "ingest_paths",
-    "library_stats",
-    "mark_missing",
-    "more_like_this",
-    "recover",
-    "search",
-    "search_batch",
-    "search_text",
-    "statistics",
-    "sync_folder",
-    "watch_changes",
-    "watch_folder",
-]
+from importlib import import_module
+
+_WHERE = {
+    "Library": "plans.ingest",
+    "ingest_file": "plans.ingest",
+    "ingest_paths": "plans.ingest",
+    "library_stats": "operators.stats",
+    "mark_missing": "plans.ingest",
+    "more_like_this": "operators.search",
+    "recover": "plans.ingest",
+    "search": "operators.search",
+    "search_batch": "operators.search",
+    "search_text": "plans.ingest",
+    "statistics": "plans.ingest",
+    "sync_folder": "plans.ingest",
+    "watch_changes": "streaming.watch",
+    "watch_folder": "streaming.watch",
+}
+
+__all__ = sorted(_WHERE)
+
+
+def __getattr__(name: str):
+    if name not in _WHERE:
+        raise AttributeError(f"module {__name__!r} has no attribute {name!r}")
+    return getattr(import_module(f"{__name__}.{_WHERE[name]}"), name)
