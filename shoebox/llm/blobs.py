@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 
+from shoebox.llm import text
 from shoebox.llm.spark import open_folder
 
 BLOBS = "shard int, blob binary"
@@ -75,6 +76,7 @@ class _Arrays:
         return self.open[name]
 
 
+@text.held
 @functools.lru_cache(maxsize=1)
 def arrays_of(folder: str) -> _Arrays:
     return _Arrays(folder)

@@ -51,6 +51,7 @@ def _letters() -> np.ndarray:
     return fold
 
 
+@text.held
 @functools.lru_cache(maxsize=4096)
 def _vector(point: int, size: int) -> np.ndarray:
     return (np.random.default_rng([text.SEED, point]).integers(0, 2, size) * 2 - 1).astype(np.float32)

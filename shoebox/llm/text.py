@@ -47,10 +47,32 @@ def give_back() -> None:
         trim(0)
 
 
+_held: list[Callable] = []
+_last: list[str] = []
+
+
+def held(cache: Callable) -> Callable:
+    """A cache that a worker keeps between the tasks of one operator, and drops when another operator's task comes."""
+    _held.append(cache.cache_clear)
+    return cache
+
+
+def begin(operator: str) -> None:
+    """A task of ``operator`` starts in this worker."""
+    if _last != [operator]:
+        for clear in _held:
+            clear()
+        _last[:] = [operator]
+        give_back()
+
+
 def returned(task: Callable) -> Callable:
-    """The task of ``mapInArrow``, giving its freed memory back to the machine at its end: Python workers outlive tasks."""
+    """The task of ``mapInArrow``, giving its freed memory back to the machine at its end: Python workers outlive tasks, and
+    go from one operator's to another's."""
+    operator = task.__module__
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         yield from task(batches)
         give_back()
 

@@ -24,6 +24,7 @@ KNOWN_PIECES = 400_000  # a worker forgets its pieces beyond this many, some 50
 LONG_PIECE = 256  # longer pieces are encoded where they stand
 
 
+@text.held
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -113,7 +114,7 @@ class _Known:
         self.place.update(zip(pieces, range(n, n + len(ids)), strict=True))
 
 
-_known = functools.lru_cache(maxsize=2)(_Known)
+_known = text.held(functools.lru_cache(maxsize=2)(_Known))
 
 
 def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
