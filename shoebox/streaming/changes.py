@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoebox.operators.exact import latest_per_path
 from shoebox.sources.storage import ControlFiles
+from shoebox.streaming import state
 
 
 def drop_repeats(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -21,28 +21,23 @@ def drop_repeats(changes: DataFrame, delay: str = "1 hour") -> DataFrame:
     return once.drop("_arrived")
 
 
-def fold_latest(feed: DataFrame, state: str, checkpoint: str, order: list[str]) -> DataFrame:
-    """Fold a change feed into one row per path, the last change by ``order``.
+def fold_latest(feed: DataFrame, checkpoint: str, order: list[str]) -> DataFrame:
+    """Fold what a change feed has by now into one row per path, the last change by ``order``.
 
-    A micro-batch writes its own last change per path under its batch id, so its cost does not
-    grow with the state and a replay overwrites what the failed attempt left. The state is the
-    last change over all batches, one aggregate with map-side combine.
+    The state is keyed by path and lives with the checkpoint: a run costs what is new in the feed, reading the
+    result costs one row per path, whatever number of batches or runs came before.
     """
     spark = feed.sparkSession
-    columns = feed.schema
-
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_path(batch, order).select(*columns.names)
-        rows.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-
-    run = (
-        feed.writeStream.foreachBatch(fold)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with state.rocksdb(spark):
+        run = (
+            state.latest_changes(feed, order)
+            .writeStream.format("noop")
+            .outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
     run.awaitTermination()
-    if not ControlFiles(spark, state).is_dir(state):
-        return spark.createDataFrame([], columns)
-    written = spark.read.schema(columns).parquet(f"{state}/batch=*")
-    return latest_per_path(written, order).select(*columns.names)
+    if not [n for n in ControlFiles(spark, checkpoint).names(f"{checkpoint}/commits") if n.isdigit()]:
+        return spark.createDataFrame([], feed.schema)
+    return state.read_latest(spark, checkpoint, feed.schema)

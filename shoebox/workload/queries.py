@@ -515,8 +515,6 @@ def _stream_table(spark, sf, name):
 @query
 def stream_dedup(spark, sf):
     """Repeated notifications: the event table read twice in one stream, each change kept once."""
-    from shoebox.session import shared_dir
-
     events = _stream_table(spark, sf, "events").select(
         F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".jpg")).alias("path"),
         F.col("ts").cast("timestamp").alias("mtime"),
@@ -534,14 +532,12 @@ def stream_dedup(spark, sf):
 @query
 def stream_changes(spark, sf):
     """The event table as a change feed: each micro-batch is folded into the state per path."""
-    from shoebox.session import shared_dir
-
     feed = _stream_table(spark, sf, "events").select(
         F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/"), "event_type", F.lit(".jpg")).alias("path"),
         F.col("ts").cast("timestamp").alias("mtime"),
         F.col("event_id"),
         F.floor(F.col("value") * 100).cast("long").alias("file_size"),
     )
-    out = f"{shared_dir(spark)}/shoebox/{uuid.uuid4().hex}"
-    state = change_stream.fold_latest(feed, f"{out}/state", f"{out}/checkpoint", ["mtime", "event_id"])
+    checkpoint = f"{shared_dir(spark)}/shoebox/{uuid.uuid4().hex}"
+    state = change_stream.fold_latest(feed, checkpoint, ["mtime", "event_id"])
     return state.select("path", "event_id", "file_size")

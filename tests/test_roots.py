@@ -31,6 +31,22 @@ def test_roots_are_one_spelling(spark, album, monkeypatch):
     assert plain("~/x") == os.path.expanduser("~/x") and plain("s3a://b/x y") == "s3a://b/x y"
 
 
+def test_large_folders_are_listed_in_parts(spark, tmp_path):
+    names = [f"{k}.jpg" for k in range(150)] + ["_x.png", "ü.png", "sub", "note.txt"]
+    for name in names[:-2]:
+        (tmp_path / name).write_bytes(b"x" * 7)
+    (tmp_path / "note.txt").write_text("no picture")
+    (tmp_path / "sub").mkdir()
+    for k in range(30):
+        (tmp_path / "sub" / f"{k}.gif").write_bytes(b"y")
+    (tmp_path / "sub" / "circle").symlink_to(tmp_path)
+    whole = sorted(str(tmp_path / n) for n in names[:-2]) + sorted(str(tmp_path / "sub" / f"{k}.gif") for k in range(30))
+    for large in (20, 100, 10_000):
+        files, unlisted = scan.list_tree(spark, str(tmp_path), large)
+        assert sorted(r["path"] for r in files.collect()) == sorted(whole) and unlisted.isEmpty()
+    assert files.where("path like '%.jpg'").select("file_size").distinct().collect()[0][0] == 7
+
+
 def test_names_without_a_decoder(spark, album, monkeypatch):
     monkeypatch.setattr(facts, "pillow_decoder", lambda: None)
     monkeypatch.setattr(facts, "NAMED", 2)
