@@ -1,6 +1,7 @@
 """Learned operators: Kneser-Ney against a model in plain Python, profiles, toxicity and site quality by held-out rows."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from shoebox.llm import kneser_ney, langid, quality_rules, site_quality, toxicity
+from shoebox.llm import kneser_ney, langid, quality_rules, queries, site_quality, toxicity
 from tests.llm.helpers import ascii_lower, awkward, corpus, empty, frames, prose, words
 
 START, END = object(), object()
@@ -144,18 +145,45 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), index).count() == 0
 
 
-def test_nearest_is_exact():
+def test_nearest_is_exact(monkeypatch):
+    """Against all cosines, on words with long and short lists; ties and a left-out example too."""
+    monkeypatch.setattr(toxicity, "LONG", 12)
     rng = np.random.default_rng(1)
-    matrix = (rng.random((500, 40)) * (rng.random((500, 40)) < 0.15)).astype(np.float32)
+    matrix = (rng.random((500, 60)) * (rng.random((500, 60)) < np.linspace(0.02, 0.5, 60))).astype(np.float32)
+    matrix[100:103] = matrix[7]
+    matrix[5] = 0
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    matrix = matrix[np.argsort(matrix.argmax(1), kind="stable")]
-    index = toxicity._indexed(np.arange(40), np.ones(40), matrix, np.zeros(500), np.arange(500), 0.1)
-    queries = matrix[::7]
-    best, place = toxicity.nearest(queries, index, 10)
-    full = queries @ matrix.T
-    want = -np.sort(-full, axis=1)[:, :10]
-    assert np.allclose(best, np.where(want > 0, want, 0), atol=1e-5)
-    assert np.allclose(np.take_along_axis(full, np.maximum(place, 0), 1)[place >= 0], best[place >= 0], atol=1e-5)
+    doc, term = np.nonzero(matrix)
+    lists = toxicity.built(np.arange(60, dtype=np.uint64), np.ones(60, np.float32), doc, term, matrix[doc, term], np.zeros(500), np.arange(500))
+    queries = np.concatenate([matrix[::7], np.zeros((1, 60), np.float32)])
+    qd, qt = np.nonzero(queries)
+    full = np.round(queries @ matrix.T, 6)
+    for skip in (None, rng.integers(0, 500, len(queries))):
+        best, place = toxicity.nearest(lists, len(queries), qd, qt, queries[qd, qt], 10, skip)
+        left = full.copy()
+        if skip is not None:
+            left[np.arange(len(queries)), skip] = 0
+        want = -np.sort(-left, axis=1)[:, :10]
+        assert np.allclose(best, np.where(want > 0, want, 0), atol=1e-5)
+        assert np.allclose(np.take_along_axis(left, np.maximum(place, 0), 1)[place >= 0], best[place >= 0], atol=1e-5)
+        assert (place[-1] == -1).all()
+    few = toxicity.built(np.arange(60, dtype=np.uint64), np.ones(60, np.float32), doc[doc < 3], term[doc < 3], matrix[doc, term][doc < 3], np.zeros(3), np.arange(3))
+    best, place = toxicity.nearest(few, len(queries), qd, qt, queries[qd, qt], 100)
+    assert best.shape == (len(queries), 100) and (place[:, 3:] == -1).all() and np.allclose(np.sort(best[:, :3]), np.sort(np.maximum(full[:, :3], 0)), atol=1e-5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the driver's tables are not here")
+def test_toxicity_of_held_out_documents(spark):
+    """On the query's own folds: nearly all pairs of a toxic and a clean document in order, evidence for every text with words."""
+    found = queries.op9_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    rows = found.where("held_out and toxic is not null").groupBy("doc_id").agg({"score": "max", "toxic": "max", "evidence": "max"}).collect()
+    score = np.array([r["max(score)"] for r in rows])
+    toxic = np.array([r["max(toxic)"] for r in rows]) == 1
+    order = np.sort(score[~toxic])
+    auc = (np.searchsorted(order, score[toxic], "left") + np.searchsorted(order, score[toxic], "right")).mean() / 2 / len(order)
+    assert auc >= 0.95
+    assert (score[toxic] >= 0.7).mean() > 0.85 and (score[~toxic] >= 0.7).mean() < 0.02
+    assert sum(not r["max(evidence)"] for r in rows) < 0.02 * len(rows)
 
 
 def test_site_quality(spark):
