@@ -302,8 +302,9 @@ def _log_probs(model: Model, word: np.ndarray, before: np.ndarray) -> tuple[np.n
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
-    """The rows without text, with n_tokens, n_known, train_tokens, base_score and score added."""
+    """The rows without text, with n_tokens, n_known, train_tokens, base_score and score added; columns of these names are replaced."""
     added = [("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")]
+    rows = rows.drop(*(name for name, _ in added))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         floor = model.tokens + 0.1 * (model.types + 1)
