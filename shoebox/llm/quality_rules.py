@@ -1,12 +1,13 @@
 """Quality rules whose thresholds come from mergeable quantile sketches per language and source.
 
-One pass measures every whole text by SQL functions only. A KLL sketch per (language, source) and measure is
-merged into sketches per language and one for all; a group under ``MIN_ROWS`` rows takes the thresholds of its language,
-and that of all if the language is small as well. The threshold of a measure is a fence over the quartiles, plus a
-margin below which no difference counts, so even groups lose nothing: upper = q3 + FENCE * (q3 - q1) + margin.
-Documents are then joined with the thresholds of their group. A sketch holds all rows of its group, and is exact up to SKETCH rows.
-
-A null text has no words. A null language or source is a group of its own. Repeated rows are judged each, alike.
+One pass measures every whole text by SQL functions only. A sketch per (language, source) and measure counts its rows in bins whose
+edges grow by ``STEP``: some thousand bins at most, and sums of counts merge sketches per language and into one for all. Counts have
+one outcome however rows are dealt or tasks rerun, so the verdicts are the same in every run. The threshold of a measure is
+a fence over the quartiles, plus a margin below which no difference counts, so even groups lose nothing:
+upper = q3 + FENCE * (q3 - q1) + margin. A group's fence is drawn to its language's, and that to the one of all rows, as if ``WEIGHT``
+rows more stood there: smoothly, the less the larger the group. Documents are then joined with the thresholds of their group.
+
+A null text has no words. Ties do not matter: equal measures get equal verdicts. Very long texts are measured whole. A null language or source is a group of its own. Repeated rows are judged each, alike.
 An empty table gives no rows. Extra columns are ignored.
 
 Fixed values: words, symbols, windows of eight words, at least 20 words and at most 30 % repeated ones are the contract's.
@@ -14,8 +15,11 @@ Fixed values: words, symbols, windows of eight words, at least 20 words and at m
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shoebox.llm.spark import lookup
 from shoebox.session import durable
@@ -25,8 +29,8 @@ SPACES = " \t\n\x0b\f\r"
 WINDOW = 8
 LEAST_WORDS = 20
 REPEATED_PERCENT = 30
-SKETCH = 2048
-MIN_ROWS = 100
+TINY, STEP = 1e-6, 1.01  # where bins begin, and how they grow: a quartile is right to half a percent
+WEIGHT = 100  # rows by which a group's thresholds are drawn to its language's, and those to all rows'
 FENCE = 3.0
 #: Measure: (expression over the counts, margin).
 MEASURES = {
@@ -82,32 +86,52 @@ def counts(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "lang", "source", *(F.col(f"{g}.{c}").cast("long").alias(c) for c, g in zip(COUNTS, "wccl" + "wl", strict=True)))
 
 
+def _bin(measure: str) -> Column:
+    """Bin 0 for what is next to nothing, then bins that grow by ``STEP``."""
+    value = F.col(measure)
+    return F.when(value <= TINY, 0).otherwise(1 + F.floor(F.ln(value / TINY) / F.lit(math.log(STEP)))).cast("int")
+
+
+def _middle(bins: str) -> Column:
+    return F.when(F.col(bins) == 0, 0.0).otherwise(TINY * F.pow(F.lit(STEP), F.col(bins) - 0.5))
+
+
+def _fences(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows and upper fence per group and measure, from the counts of its bins."""
+    whole = Window.partitionBy(*keys, "measure")
+    so_far = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    counted = sketch.withColumn("upto", so_far).withColumn("rows", F.sum("n").over(whole))
+    quartile = {q: F.min(F.when(F.col("upto") >= share * F.col("rows"), F.col("bin"))).alias(q) for q, share in (("q1", 0.25), ("q3", 0.75))}
+    found = counted.groupBy(*keys, "measure").agg(F.max("rows").alias(f"{name}_rows"), *quartile.values())
+    margin = F.element_at(F.create_map(*(F.lit(x) for m, (_, gap) in MEASURES.items() for x in (m, gap))), F.col("measure"))
+    fence = _middle("q3") + (_middle("q3") - _middle("q1")) * FENCE + margin
+    return found.select(*keys, "measure", f"{name}_rows", fence.alias(name))
+
+
+def _drawn(rows: str, own: str, above: Column) -> Column:
+    """A group's fence, drawn to the one above as if ``WEIGHT`` rows more stood there: smooth in the group's size."""
+    return (F.col(rows) * F.col(own) + WEIGHT * above) / (F.col(rows) + WEIGHT)
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
     """Per (lang, source): its rows, and a struct of upper thresholds per measure."""
-    sketch = [F.expr(f"kll_sketch_agg_double({m}, {SKETCH})").alias(m) for m in MEASURES]
-    merged = [F.expr(f"kll_merge_agg_double({m})").alias(m) for m in MEASURES]
-    total = F.sum("n").alias("n")
-    own = durable(measured.groupBy("lang", "source").agg(F.count("*").alias("n"), *sketch))
-    # The rows of one language and of all are sums over groups, not over documents.
-    langs = durable(own.groupBy("lang").agg(total, *merged))
-    everything = langs.groupBy(F.lit(0).alias("every")).agg(total, *merged)
-
-    def fences(level: str) -> Column:
-        def at(m, q):
-            return F.expr(f"kll_sketch_get_quantile_double({m}, {q}D)")
-
-        return F.struct(
-            F.col("n"), *((at(m, 0.75) + (at(m, 0.75) - at(m, 0.25)) * FENCE + margin).alias(m) for m, (_, margin) in MEASURES.items())
-        ).alias(level)
-
-    levels = own.select("lang", "source", fences("own")).join(
-        langs.select(F.col("lang").alias("its_lang"), fences("of_lang")), F.col("lang").eqNullSafe(F.col("its_lang"))
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), _bin(m).alias("bin")) for m in MEASURES))
+    counted = measured.select("lang", "source", F.inline(cells)).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
+    own = durable(counted)
+    # The sketches of one language and of all are sums over groups, not over documents.
+    langs = durable(own.groupBy("lang", "measure", "bin").agg(F.sum("n").alias("n")))
+    everything = langs.groupBy("measure", "bin").agg(F.sum("n").alias("n"))
+    of_lang = _fences(langs, ["lang"], "of_lang").withColumnsRenamed({"lang": "its_lang", "measure": "its_measure"})
+    of_all = F.broadcast(_fences(everything, [], "of_all").drop("of_all_rows"))  # a row per measure
+    levels = _fences(own, ["lang", "source"], "own").join(
+        of_lang, F.col("lang").eqNullSafe(F.col("its_lang")) & (F.col("measure") == F.col("its_measure"))
+    ).join(of_all, "measure")
+    limit = _drawn("own_rows", "own", _drawn("of_lang_rows", "of_lang", F.col("of_all")))
+    level = levels.select("lang", "source", "measure", F.col("own_rows").alias("rows"), limit.alias("limit"))
+    found = level.groupBy("lang", "source").agg(
+        F.max("rows").alias("group_rows"), F.struct(*(F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(m) for m in MEASURES)).alias("limit")
     )
-    found = everything.select(fences("of_all")).first()
-    limits = found["of_all"].asDict() if found else {}
-    of_all = F.struct(*(F.lit(limits.get(c)).cast("long" if c == "n" else "double").alias(c) for c in ("n", *MEASURES)))
-    limit = F.when(F.col("own.n") >= MIN_ROWS, F.col("own")).when(F.col("of_lang.n") >= MIN_ROWS, F.col("of_lang")).otherwise(of_all)
-    return durable(levels.select("lang", "source", F.col("own.n").alias("group_rows"), limit.alias("limit")))
+    return durable(found)
 
 
 def judge(docs: DataFrame) -> DataFrame:

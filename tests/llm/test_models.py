@@ -228,7 +228,7 @@ def brute_counts(body):
 
 
 def test_quality_counts_and_thresholds(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "MIN_ROWS", 20)
+    monkeypatch.setattr(quality_rules, "WEIGHT", 20)
     rng = random.Random(4)
     rows = corpus(120) + awkward()
     rows += [(500, "a b c d e f g h " * 5, "en", "s0", 1), (501, " ".join(w + "#$" for w in prose(rng, 40).split()), "en", "s0", 1)]
@@ -243,9 +243,47 @@ def test_quality_counts_and_thresholds(spark, monkeypatch):
     assert verdict[500]["base_failed"] and not verdict[500]["kept"]
     assert verdict[501]["failed"] == ["symbol_share"]
     assert all(r["kept"] for r in found if r["n_words"] >= 20 and (r["doc_id"] or 0) < 120 and not r["base_failed"] and not r["failed"])
+    # Every verdict against fences from counted bins.
+    want = brute_verdicts([(r[0], r[1], r[2], r[3]) for r in rows], 20)
+    assert Counter((r["doc_id"], r["kept"], tuple(r["failed"])) for r in found) == want
+    assert sum(not kept for _, kept, _ in want) > 1
+    again = quality_rules.judge(frames(spark, rows).repartition(7)).collect()
+    assert Counter(map(tuple, ((r["doc_id"], r["kept"]) for r in again))) == Counter((r["doc_id"], r["kept"]) for r in found)
     assert quality_rules.judge(empty(spark)).count() == 0
 
 
+def brute_verdicts(rows, weight):
+    measured = []
+    for doc_id, body, lang, source in rows:
+        n, chars, symbols, dup, repeated = brute_counts(body)
+        lines = len([x for x in (body or "").split("\n") if words(x)])
+        share = lambda a, b: a / b if b else 0.0
+        values = (share(symbols, chars), share(dup, lines), share(repeated, n), share(chars, n))
+        measured.append((doc_id, lang, source, n, 100 * repeated > 30 * n, values))
+
+    def bin_of(v):
+        return 0 if v <= 1e-6 else 1 + math.floor(math.log(v / 1e-6) / math.log(1.01))
+
+    def middle(b):
+        return 0.0 if b == 0 else 1e-6 * 1.01 ** (b - 0.5)
+
+    def fence(some, m):
+        bins = sorted(bin_of(x[5][m]) for x in some)
+        q1, q3 = (middle(bins[math.ceil(q * len(bins)) - 1]) for q in (0.25, 0.75))
+        return q3 + (q3 - q1) * 3.0 + (0.02, 0.25, 0.10, 2.0)[m]
+
+    out = Counter()
+    for doc_id, lang, source, n, repeats, values in measured:
+        failed = []
+        for m, name in enumerate(quality_rules.MEASURES):
+            own, its = [x for x in measured if x[1:3] == (lang, source)], [x for x in measured if x[1] == lang]
+            above = (len(its) * fence(its, m) + weight * fence(measured, m)) / (len(its) + weight)
+            if values[m] > (len(own) * fence(own, m) + weight * above) / (len(own) + weight):
+                failed.append(name)
+        out[doc_id, n >= 20 and not repeats and not failed, tuple(failed)] += 1
+    return out
+
+
 def test_folds_are_by_text_of_the_id(spark):
     from shoebox.llm.spark import crc_fold
 
