@@ -83,14 +83,14 @@ def _grown(array: np.ndarray, used: int, more: int) -> np.ndarray:
 class _Known:
     """Ids of the pieces met so far, end to end in one growing array."""
 
-    def __init__(self, path: str):
-        self.path, self.place, self.used = path, {}, 0
+    def __init__(self, path: str, limit: int):
+        self.path, self.limit, self.place, self.used = path, limit, {}, 0
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def numbers(self, pieces: list[bytes]) -> list[int]:
-        if len(self.place) > KNOWN_PIECES:
-            self.__init__(self.path)
+        if len(self.place) > self.limit:
+            self.__init__(self.path, self.limit)
         place = self.place
         found = [place.get(p, -1) for p in pieces]
         new = [k for k, n in enumerate(found) if n < 0]
@@ -136,7 +136,7 @@ def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(cut), n)
 
 
-def encode(raw: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode(raw: np.ndarray, bounds: np.ndarray, path: str, limit: int = KNOWN_PIECES) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts of a slice, end to end, and the bounds of each text's ids."""
     if not len(raw):
         return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
@@ -160,7 +160,7 @@ def encode(raw: np.ndarray, bounds: np.ndarray, path: str) -> tuple[np.ndarray,
     same[extra] = len(first) + np.arange(len(extra))
     data, each = raw.tobytes(), np.concatenate([first, extra])
     pieces = [data[a:b] for a, b in zip(start[each].tolist(), end[each].tolist(), strict=True)]
-    known = _known(path)
+    known = _known(path, limit)
     lengths = np.concatenate([size[first], size[extra]])
     short, long = np.flatnonzero(lengths <= LONG_PIECE), np.flatnonzero(lengths > LONG_PIECE)
     number = np.zeros(len(pieces), np.int64)
