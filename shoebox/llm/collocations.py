@@ -38,6 +38,7 @@ UNKNOWN = "und"
 WORD_BITS = 21
 FLUSH = 1 << 20  # words a task holds, at most one slice more
 SHARD_BYTES = 16 << 20  # of text per shard
+STRETCH = 1 << 18  # suffixes of a shard that are sorted together, or those of one leading word
 COUNTED = "lang string, k int, phrase string, f long"
 CUTS = np.zeros(256, bool)
 CUTS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
@@ -74,9 +75,12 @@ class _Buffer:
         self.size += len(raw)
 
     def dealt(self, shards: int) -> pa.RecordBatch:
-        raw, key, start, size, lang, goes_on = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        columns = [list(x) for x in zip(*self.parts, strict=True)]
+        self.parts = []
+        raw, key, start, size, lang, goes_on = map(_joined, columns)
         known, first, word = np.unique(key, return_index=True, return_inverse=True)
         start, size, lang = start[first], size[first], lang[first]
+        del key, first
         # The suffix at each word, as three word numbers from 1 in one integer; 0 is the end.
         word = word.astype(np.uint64) + np.uint64(1)
         second = np.where(goes_on, np.append(word[1:], 0), 0).astype(np.uint64)
@@ -84,15 +88,18 @@ class _Buffer:
         bits = np.uint64(WORD_BITS)
         long, weight = np.unique(((word << bits | second) << bits | third)[second > 0], return_counts=True)
         single = np.bincount(word.astype(np.int64) - 1)
+        del word, second, third, goes_on
         low = np.uint64((1 << WORD_BITS) - 1)
+        alone = np.zeros(len(known), np.int32)
         columns = [
-            np.concatenate([np.arange(1, len(known) + 1), (long >> bits >> bits).astype(np.int64)]),
-            np.concatenate([np.zeros(len(known), np.int64), (long >> bits & low).astype(np.int64)]),
-            np.concatenate([np.zeros(len(known), np.int64), (long & low).astype(np.int64)]),
+            np.concatenate([np.arange(1, len(known) + 1, dtype=np.int32), (long >> bits >> bits).astype(np.int32)]),
+            np.concatenate([alone, (long >> bits & low).astype(np.int32)]),
+            np.concatenate([alone, (long & low).astype(np.int32)]),
         ]
-        weight = np.concatenate([single, weight])
+        weight = np.concatenate([single, weight]).astype(np.int32)
+        del long, single
         lead = np.append(np.uint64(0), known)
-        shard = (text.mix(lead[columns[0]] + text.mix(lead[columns[1]])) % np.uint64(shards)).astype(np.int64)
+        shard = (text.mix(lead[columns[0]] + text.mix(lead[columns[1]])) % np.uint64(shards)).astype(np.int32)
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(shards + 1))
         names = "\0".join(self.langs).encode()
@@ -142,7 +149,7 @@ def partitions(columns: np.ndarray, weight: np.ndarray, least: int) -> Iterator[
     at, start, depth = np.arange(n), np.zeros(min(n, 1), np.int64), np.zeros(min(n, 1), np.int64)
     while len(at):
         size = np.diff(start, append=len(at))
-        enough = np.add.reduceat(weight[at], start) >= least
+        enough = np.add.reduceat(weight[at], start, dtype=np.int64) >= least
         if not enough.all():
             at = at[np.repeat(enough, size)]
             size, depth = size[enough], depth[enough]
@@ -167,7 +174,7 @@ def partitions(columns: np.ndarray, weight: np.ndarray, least: int) -> Iterator[
         at = moved
         # Equal parts are phrases, unless their symbol is the end; they go on at the next symbol, if there is one.
         equal = begin[:, 1]
-        total = np.add.reduceat(np.append(weight[at], 0), np.stack([equal, equal + sizes[:, 1]], 1).ravel())[::2]
+        total = np.add.reduceat(np.append(weight[at], 0), np.stack([equal, equal + sizes[:, 1]], 1).ravel(), dtype=np.int64)[::2]
         phrase = (pivot > 0) & (total >= least)
         for d in np.unique(depth[phrase]):
             these = phrase & (depth == d)
@@ -187,48 +194,97 @@ def _keys(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lang: np.ndarray,
     return text.mix(text.mix(text.span_hash(text.prefix(raw), start, end)) + salt[lang])
 
 
+def _spans(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of words that each end in a space."""
+    end = np.flatnonzero(letters == 0x20)
+    return np.append(0, end[:-1] + 1)[: len(end)], end
+
+
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    """The arrays end to end; the list is emptied."""
+    out = np.concatenate(arrays)
+    arrays.clear()
+    return out
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each distinct key the place of one, and the number of every key's kind, from 1."""
+    order = np.argsort(keys).astype(np.int32)
+    keys = keys[order]
+    fresh = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(fresh, dtype=np.int32)
+    return order[fresh], number
+
+
+def _stretches(lead: np.ndarray, weight: np.ndarray, mine: np.ndarray, least: int) -> Iterator[np.ndarray]:
+    """The places of ``mine`` by ranges of leading words, about ``STRETCH`` at a time; words lighter than ``least`` are abandoned."""
+    words = int(lead.max(initial=0)) + 1
+    steps = [slice(k, k + STRETCH) for k in range(0, len(lead), STRETCH)]
+    total, many = np.zeros(words), np.zeros(words, np.int64)
+    for s in steps:
+        total += np.bincount(lead[s], np.where(mine[s], weight[s], 0), words)
+    kept = [np.flatnonzero(mine[s] & (total[lead[s]] >= least)).astype(np.int32) + np.int32(s.start) for s in steps]
+    for s in kept:
+        many += np.bincount(lead[s], minlength=words)
+    kept = np.concatenate([np.zeros(0, np.int32), *kept])
+    leads, upto = lead[kept], np.cumsum(many)
+    low = 0
+    while low < words:
+        done = upto[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(upto, done + STRETCH, "right")))
+        here = kept[(leads >= low) & (leads < high)]
+        if len(here):
+            yield here
+        low = high
+
+
 def _counted(table: pa.Table, least: int) -> pa.Table:
     """The frequent phrases of a shard; phrase null: how many words of a language it has."""
     langs: dict[str, int] = {}
-    keys, owners, spans, raws, suffixes, weights = [], [], [], [], [], []
-    size = 0
-    for blob in table.column("blob").to_pylist():
-        names, share, letters, *suffix, weight = unpack(blob, np.uint8, np.int64, np.uint8, np.int32, np.int32, np.int32, np.int64)
+    keys, owners, raws, suffixes, weights = [], [], [], [], []
+    for blob in table.column("blob"):
+        names, share, letters, *suffix, weight = unpack(blob.as_py(), np.uint8, np.int64, np.uint8, np.int32, np.int32, np.int32, np.int32)
         names = names.tobytes().decode().split("\0")
         lang = np.repeat(np.arange(len(names)), share)
-        end = np.flatnonzero(letters == 0x20)
-        start = np.append(0, end[:-1] + 1)[: len(end)]
+        start, end = _spans(letters)
         keys.append(_keys(letters, start, end, lang, names))
-        owners.append(np.array([langs.setdefault(x, len(langs)) for x in names])[lang])
-        spans.append(np.stack([start, end]) + size)
-        size += len(letters)
+        owners.append(np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)[lang])
         raws.append(letters)
         suffixes.append(suffix)
         weights.append(weight)
     # One number per word of a language, from 1, over all blobs.
-    known, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     cut = np.cumsum([0, *map(len, keys)])
-    numbers = [np.append(0, number[low:high] + 1).astype(np.int32) for low, high in zip(cut, cut[1:], strict=False)]
-    suffix = np.concatenate([np.stack([n[c] for c in s]) for n, s in zip(numbers, suffixes, strict=True)], 1)
-    weight = np.concatenate(weights)
-    owner = np.append(0, np.concatenate(owners)[first])
-    start, end = np.concatenate(spans, 1)[:, first]
-    raw = np.concatenate(raws)
-    del keys, owners, spans, raws, suffixes, weights, numbers, number
+    first, number = _numbered(_joined(keys))
+    owner = np.append(np.int32(0), _joined(owners)[first])
+    raw = _joined(raws)
+    start, end = (x[first] for x in _spans(raw))
+    del first
+    # Blobs are let go one by one as their suffixes get the common numbers.
+    suffix, weight, at = np.empty((DEPTH, sum(map(len, weights))), np.int32), _joined(weights), 0
+    for k, (low, high) in enumerate(zip(cut, cut[1:], strict=False)):
+        own = np.append(np.int32(0), number[low:high])
+        size = len(suffixes[k][0])
+        for d in range(DEPTH):
+            suffix[d, at : at + size] = own[suffixes[k][d]]
+        suffixes[k], at = None, at + size
+    del number
+    text.give_back()
     names = list(langs)
     single = suffix[1] == 0
     total = np.bincount(owner[suffix[0, single]], weight[single], minlength=len(names)).astype(np.int64)
     out = [(names[g], 0, None, int(total[g])) for g in np.flatnonzero(total)]
     for mine in (single, ~single):
-        symbols, heavy = suffix[:, mine], weight[mine]
-        for k, at, count in partitions(symbols, heavy, least):
-            # One word is whole only among the one-word suffixes: the others were routed by two words.
-            if (k == 1) != (mine is single):
-                continue
-            for p, f in zip(at, count, strict=True):
-                chain = symbols[:k, p]
-                phrase = b" ".join(raw[start[w - 1] : end[w - 1]].tobytes() for w in chain)
-                out.append((names[owner[chain[0]]], k, phrase.decode("utf-8", "replace"), int(f)))
+        for here in _stretches(suffix[0], weight, mine, least):
+            symbols = suffix[:, here]
+            for k, at, count in partitions(symbols, weight[here], least):
+                # One word is whole only among the one-word suffixes: the others were routed by two words.
+                if (k == 1) != (mine is single):
+                    continue
+                for p, f in zip(at, count, strict=True):
+                    chain = symbols[:k, p]
+                    phrase = b" ".join(raw[start[w - 1] : end[w - 1]].tobytes() for w in chain)
+                    out.append((names[owner[chain[0]]], k, phrase.decode("utf-8", "replace"), int(f)))
     text.give_back()
     kinds = (pa.string(), pa.int32(), pa.string(), pa.int64())
     columns = zip(*out, strict=True) if out else [()] * 4

@@ -4,12 +4,14 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from shoebox.llm import automaton_dedup, collocations, lexical_search, queries
+from shoebox.llm import automaton_dedup, collocations, lexical_search, queries, text
 from tests.llm.helpers import ascii_lower, awkward, corpus, empty, frames
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
@@ -183,3 +185,30 @@ def test_lexical_search_empty(spark):
 @pytest.mark.parametrize("name", ["op11_automaton_dedup", "op12_collocations", "op13_lexical_search"])
 def test_queries_have_twins(name):
     assert name in queries.QUERIES and name in queries.SQL
+
+
+def test_a_shard_is_counted_in_little_memory(monkeypatch):
+    """Peak beside the shard's own arrays: sorting all its suffixes at once took several times as much."""
+    rng = np.random.default_rng(7)
+    held, blobs, bodies = collocations._Buffer(), [], []
+    for _ in range(6):
+        bodies.append(" ".join(f"w{x}" for x in rng.zipf(1.2, 60_000) % 30_000))
+        batch = pa.RecordBatch.from_pydict({"text": [bodies[-1]]})
+        for part in text.slices(batch):
+            held.add(part, ["en"])
+        blobs += held.dealt(1).column("blob").to_pylist()
+    shard = pa.table({"shard": pa.array([0] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    monkeypatch.setattr(collocations, "STRETCH", 1 << 14, raising=False)
+    tracemalloc.start()
+    found = collocations._counted(shard, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = Counter()
+    for body in bodies:
+        words = body.split()
+        for n in (1, 2, 3):
+            want.update(" ".join(words[k : k + n]) for k in range(len(words) - n + 1))
+    got = {r["phrase"]: r["f"] for r in found.to_pylist() if r["k"]}
+    assert got == {p: f for p, f in want.items() if f >= 10}
+    assert sum(r["f"] for r in found.to_pylist() if not r["k"]) == 360_000
+    assert peak < 25_000_000  # 38 million before
