@@ -19,6 +19,7 @@ from shoebox.operators.components import components
 from shoebox.session import dense_order, durable
 
 TASK_EDGES = 1_000_000
+STEP = 1 << 16  # edges that are Python numbers at a time
 
 
 def _settled(table: pa.Table) -> pa.Table:
@@ -26,10 +27,14 @@ def _settled(table: pa.Table) -> pa.Table:
     later, earlier = (table.column(c).to_numpy() for c in ("later", "earlier"))
     order = np.argsort(later, kind="stable")
     dropped: set[int] = set()
-    for node, neighbour in zip(later[order].tolist(), earlier[order].tolist()):
-        if neighbour not in dropped:
-            dropped.add(node)
-    return pa.table({"ord": pa.array(sorted(dropped), pa.int64())})
+    for k in range(0, len(order), STEP):
+        here = order[k : k + STEP]
+        for node, neighbour in zip(later[here].tolist(), earlier[here].tolist()):
+            if neighbour not in dropped:
+                dropped.add(node)
+    out = np.fromiter(dropped, np.int64, len(dropped))
+    out.sort()
+    return pa.table({"ord": pa.array(out, pa.int64())})
 
 
 def _one_task(edges: DataFrame) -> DataFrame:

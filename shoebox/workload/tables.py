@@ -20,6 +20,7 @@ from shoebox.functions.pixels import SIDE, phash_of_gray
 # The window code of characters a, b, c, d is
 # (((a * BASE + b) * BASE + c) * BASE + d) mod PRIME mod SIDE*SIDE.
 BASE, PRIME, WINDOW = 131, 1_048_573, 4
+PICTURES = 256
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,6 +48,13 @@ def window_picture(text: pd.Series) -> pd.Series:
     return pd.Series([one(v) for v in text])
 
 
+@F.pandas_udf(T.StringType())
+def text_phash(text: pd.Series) -> pd.Series:
+    """Perceptual hash of each text's picture; a task holds ``PICTURES`` pictures of 8 KB, not those of its whole Arrow batch."""
+    parts = [phash_of_gray.func(window_picture.func(text.iloc[k : k + PICTURES])) for k in range(0, len(text), PICTURES)]
+    return pd.concat(parts, ignore_index=True) if parts else pd.Series([], dtype=object)
+
+
 def document_path():
     """/lib/<source>/<lang>/<doc_id><extension>; the language names the file type."""
     ext = (
@@ -83,7 +91,7 @@ def pictures(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("ord"),
         "lang",
         document_sha().alias("sha256_hex"),
-        phash_of_gray(window_picture("text")).alias("phash"),
+        text_phash("text").alias("phash"),
     )
     return hashed.withColumn("bits", hex_to_bits("phash"))
 

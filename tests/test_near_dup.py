@@ -1,15 +1,20 @@
 """Hamming join, grouping and suppression against brute force and the one-by-one model."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from shoebox.functions.bits import bits_to_hex, hamming_hex, hex_to_bits
-from shoebox.operators import exact, near_dup
+from shoebox.operators import exact, first_come, near_dup
 from shoebox.operators.hamming_join import block_count, candidates, masks
 from shoebox.operators.running import last_before, sum_before
 from shoebox.plans.decide import decide
+from shoebox.workload import tables
 from tests.model import Library, distance
 
 
@@ -159,3 +164,21 @@ def test_batches_equal_one_by_one_model(spark, policy, seed):
                 assert group == c["group"], i
                 if i not in old:
                     assert labels.get(i, (None, None))[1] == c["dist"], i
+
+
+def test_tasks_hold_few_pictures_and_edges_at_a_time():
+    """Peaks of what a task's batch of texts, and of edges, takes in Python."""
+    texts = pd.Series([f"picture {k} of {'abc' * (k % 50)}" for k in range(3000)])
+    edges = pa.table({"later": np.arange(1, 300_001) + 10**9, "earlier": np.arange(300_000) + 10**9})
+    peaks = []
+    for work in (lambda: tables.text_phash.func(texts), lambda: first_come._settled(edges)):
+        tracemalloc.start()
+        out = work()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        if len(peaks) == 1:
+            assert out.tolist() == tables.phash_of_gray.func(tables.window_picture.func(texts)).tolist()
+            assert tables.text_phash.func(texts[:0]).tolist() == []
+    assert out.column("ord").to_pylist() == list(range(10**9 + 1, 10**9 + 300_001, 2))
+    assert peaks[0] < 12_000_000  # 80 million before, with 8 KB or more a picture
+    assert peaks[1] < 24_000_000  # 33 million before
