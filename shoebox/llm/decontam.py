@@ -47,6 +47,7 @@ SURE = 0.8
 LIKELY = 0.6
 ANSWER = 0.75
 CHUNK = 256  # terms of a partial sum
+LEAD_BITS = 18
 FAN_IN = 64  # groups that partial sums are added in first
 LEAKS = "array<struct<item_id: bigint, share: double, answer: double>>"
 
@@ -63,6 +64,7 @@ class Space(NamedTuple):
     basis: np.ndarray  # terms x rank
     folded: np.ndarray  # items x rank, unit length
     items: list[Item]
+    holds: np.ndarray  # terms x items, 1 where the item has the term
 
 
 def _words(raw_text: str) -> list[int]:
@@ -105,9 +107,15 @@ def common(sequence: list[int], other: list[int]) -> int:
 
 
 def _terms(hashes: np.ndarray, terms: np.ndarray) -> np.ndarray:
-    """Place of each word among the terms, or -1."""
-    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
-    return np.where(terms[at] == hashes, at, -1)
+    """Place of each word among the terms, or -1. Most words share their leading bits with no term and are not looked up."""
+    top = np.uint64(64 - LEAD_BITS)
+    leads = np.zeros(1 << LEAD_BITS, bool)
+    leads[terms >> top] = True
+    out = np.full(len(hashes), -1, np.int64)
+    some = np.flatnonzero(leads[hashes >> top])
+    at = np.minimum(np.searchsorted(terms, hashes[some]), len(terms) - 1)
+    out[some] = np.where(terms[at] == hashes[some], at, -1)
+    return out
 
 
 def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
@@ -204,7 +212,7 @@ def space(docs: DataFrame, items: list[Item]) -> Space | None:
     basis = axes[: max(RANK, len(items))].T
     folded = rows @ basis
     folded /= np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)
-    return Space(terms, idf, (idf[:, None] * basis).astype(np.float32), folded.astype(np.float32), items)
+    return Space(terms, idf, (idf[:, None] * basis).astype(np.float32), folded.astype(np.float32), items, (rows > 0).T.astype(np.uint8, order="C"))
 
 
 def _windows(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,42 +234,68 @@ def compared(item: Item, region: list[int]) -> tuple[float, float]:
     return best
 
 
+def _possible(doc: np.ndarray, term: np.ndarray, docs: int, at: Space) -> np.ndarray:
+    """documents x items: whether the kinds of an item's words in the whole document can be ``LIKELY`` of them, as ``compared``
+    asks of any part; words that are no terms count as present."""
+    pair = np.unique(doc * len(at.terms) + term)
+    owner, held = pair // len(at.terms), at.holds[pair % len(at.terms)]
+    begins = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    kinds = np.array([len(set(i.words)) for i in at.items])
+    found = np.zeros((docs, len(kinds)), np.int32)
+    found[owner[begins]] = np.add.reduceat(held, begins, axis=0, dtype=np.int32)
+    return found + (kinds - at.holds.sum(axis=0, dtype=np.int64)) >= LIKELY * kinds
+
+
 def _leaks(part: text.Slice, at: Space) -> list[dict[int, tuple[float, float]]]:
     """For each document, the items it leaks with the best shares."""
     docs = part.last - part.first
     out: list[dict] = [{} for _ in range(docs)]
     hashes, doc = _hashes(part.raw, part.bounds)
-    counts = np.bincount(doc, minlength=docs)
-    first = np.cumsum(counts) - counts
-    # Sums of folded words over strides, then over the strides of a window.
-    nth = np.arange(len(doc)) - first[doc]
-    opens = np.flatnonzero(nth % STRIDE == 0)
     term = _terms(hashes, at.terms)
     has = np.flatnonzero(term >= 0)
     if not len(has):
         return out
-    stride_of = np.searchsorted(opens, has, "right") - 1
+    counts = np.bincount(doc, minlength=docs)
+    first = np.cumsum(counts) - counts
+    term, doc = term[has], doc[has]
+    # Sums of folded words over strides, then over the strides of a window.
+    strides = -(-counts // STRIDE)
+    head = np.cumsum(strides) - strides
+    row_doc = np.repeat(np.arange(docs), strides)
+    stride_of = head[doc] + (has - first[doc]) // STRIDE
+    sums = np.zeros((len(row_doc), at.basis.shape[1]), np.float32)
     begins = np.flatnonzero(np.append(True, stride_of[1:] != stride_of[:-1]))
-    sums = np.zeros((len(opens), at.basis.shape[1]), np.float32)
-    sums[stride_of[begins]] = np.add.reduceat(at.basis[term[has]], begins, axis=0)
+    many = np.diff(np.append(begins, len(has)))
+    sums[stride_of[begins]] = at.basis[term[begins]]
+    for k in range(1, int(many.max())):
+        more = begins[many > k] + k
+        sums[stride_of[more]] += at.basis[term[more]]
+    possible = _possible(doc, term, docs, at)
     short = np.array([len(i.words) <= PASSAGE // 2 for i in at.items])
+    rolling, upto = sums.copy(), 1
     for size, mine in ((PASSAGE // 2, np.flatnonzero(short)), (PASSAGE, np.flatnonzero(~short))):
         if not len(mine):
             continue
+        while upto < size // STRIDE:
+            ends = np.flatnonzero(row_doc[:-upto] != row_doc[upto:])  # the stride so far on is another document's
+            whole = rolling[ends]
+            rolling[:-upto] += sums[upto:]
+            rolling[ends] = whole
+            upto += 1
         owner, start = _windows(counts, size)
-        head = np.searchsorted(opens, first[owner] + start)
-        folded = np.zeros((len(owner), sums.shape[1]), np.float32)
-        for k in range(size // STRIDE):
-            inside = start + k * STRIDE < counts[owner]
-            folded[inside] += sums[head[inside] + k]
+        folded = rolling[head[owner] + start // STRIDE]
         length = np.linalg.norm(folded, axis=1)
         some = np.flatnonzero(length > 0)
         folded, length, owner, start = folded[some], length[some], owner[some], start[some]
-        near = folded @ at.folded[mine].T >= CANDIDATE * length[:, None]
-        # Neighbouring candidate windows of one item are one region.
-        k, w = np.nonzero(near.T)
+        near = np.flatnonzero(folded @ at.folded[mine].T >= CANDIDATE * length[:, None])
+        w, k = near // len(mine), near % len(mine)
+        # A candidate of which the whole document has too few words is not compared.
+        left = np.flatnonzero(possible[owner[w], mine[k]])
+        left = left[np.argsort(k[left], kind="stable")]
+        w, k = w[left], k[left]
         if not len(k):
             continue
+        # Neighbouring candidate windows of one item are one region.
         fresh = np.append(True, (k[1:] != k[:-1]) | (owner[w[1:]] != owner[w[:-1]]) | (start[w[1:]] > start[w[:-1]] + size))
         begin = np.flatnonzero(fresh)
         last = np.append(begin[1:], len(k)) - 1

@@ -5,11 +5,12 @@ import random
 from collections import Counter
 
 import public_tokenizers  # noqa: F401
+import pyarrow as pa
 import pytest
 import xxhash
 
 import corpus_pipeline
-from shoebox.llm import decontam, simhash, suffix_dedup
+from shoebox.llm import decontam, simhash, suffix_dedup, text
 from tests.llm.helpers import ascii_lower, awkward, corpus, empty, frames, prose, words
 
 
@@ -146,6 +147,25 @@ def test_decontamination(spark):
         assert {x["item_id"] for x in leaks} == wanted | ({0} if doc in short else set()), doc
 
 
+def test_only_possible_leaks_are_compared(spark, monkeypatch):
+    """Documents near an item by a few of its words are not compared word by word; what is found stays the same."""
+    items, table = benchmark(spark)
+    rng, rows = random.Random(13), corpus(600)
+    rows = [(1000 + r[0], *r[1:]) for r in rows]
+    for k in range(40):
+        w = items[k % 6][1].split()
+        part = w[: len(w) // 2] if k % 4 else [x if j % 9 else "other" for j, x in enumerate(w)]
+        rows.append((k, prose(rng, rng.randint(0, 9)) + " " + " ".join(part) + " " + prose(rng, rng.randint(0, 9)), "en", "s", 1))
+    latent = decontam.space(frames(spark, rows), [decontam.item_of(*r) for r in items])
+    calls, plain = [], decontam.compared
+    monkeypatch.setattr(decontam, "compared", lambda item, region: calls.append((item, region)) or plain(item, region))
+    batch = pa.RecordBatch.from_pydict({"text": [r[1] for r in rows]})
+    found = [x for part in text.slices(batch) for x in decontam._leaks(part, latent)]
+    assert [set(x) for x in found] == [{r[0] % 6} if r[0] < 1000 and r[0] % 4 == 0 else set() for r in rows]
+    shares = [len(set(i.words).intersection(region)) / len(set(i.words)) for i, region in calls]
+    assert shares and min(shares) >= decontam.LIKELY  # documents with half of an item were compared before
+
+
 def test_decontamination_edges(spark):
     _, table = benchmark(spark)
     docs = frames(spark, awkward()).withColumn("leaks", simhash.F.lit(1))
