@@ -2,8 +2,10 @@
 
 The byte-level pre-tokenizer never joins text across an ASCII space or newline that stands alone between two
 other characters: the space opens the next token, the newline is one of its own. Cutting there leaves the ids as
-they are, so a piece (a word with its space, mostly) is encoded when first met and looked up afterwards. An added token that stands
-in a text is one id, as the library has it; it holds neither sign, so it stays in one piece. Other kinds of tokenizer take whole texts.
+they are, and so does cutting between an ASCII letter and a sign other than the apostrophe. A piece (a word with its space, or
+the signs behind it, mostly) is encoded when first met and looked up afterwards. An added token that stands
+in a text is one id, as the library has it; it holds neither white space nor a sign that is cut at, so it stays in one piece.
+Other kinds of tokenizer take whole texts.
 """
 
 from __future__ import annotations
@@ -92,8 +94,8 @@ class _Known:
         if len(self.place) > self.limit:
             self.__init__(self.path, self.limit)
         place = self.place
-        found = [place.get(p, -1) for p in pieces]
-        new = [k for k, n in enumerate(found) if n < 0]
+        found = list(map(place.get, pieces))
+        new = [k for k, n in enumerate(found) if n is None]
         if new:
             self._learn([pieces[k] for k in new])
             for k in new:
@@ -117,7 +119,20 @@ class _Known:
 _known = text.held(functools.lru_cache(maxsize=2)(_Known))
 
 
-def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+_SIGNS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may open a token with the letters behind it
+
+
+@functools.lru_cache(maxsize=2)
+def _closing(path: str) -> np.ndarray:
+    """The signs before which a word of letters ends in any text: all that no added token holds."""
+    with open(path, encoding="utf-8") as file:
+        added = "".join(t["content"] for t in json.load(file).get("added_tokens", []))
+    out = np.zeros(256, bool)
+    out[[c for c in _SIGNS if chr(c) not in added]] = True
+    return out
+
+
+def _cuts(raw: np.ndarray, bounds: np.ndarray, closing: np.ndarray) -> np.ndarray:
     """Sorted positions, 0 and the end included, at which the bytes can be encoded apart."""
     n = len(raw)
     plain = (raw > 0x20) & (raw != 0x7F)
@@ -131,6 +146,9 @@ def _cuts(raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     alone = before & after
     cut = alone & ((raw == 0x20) | (raw == 0x0A))
     cut[1:] |= (alone & (raw == 0x0A))[:-1]
+    letter = ((raw | 0x20) - np.uint8(ord("a"))) < 26
+    after_word = 1 + np.flatnonzero(letter[:-1] & ~letter[1:] & plain[1:])
+    cut[after_word] |= closing[raw[after_word]]
     cut[bounds[:-1][bounds[:-1] < n]] = True
     cut[0] = True
     return np.append(np.flatnonzero(cut), n)
@@ -144,16 +162,18 @@ def encode(raw: np.ndarray, bounds: np.ndarray, path: str, limit: int = KNOWN_PI
         texts = [text.decoded(raw, a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         whole = [np.array(e.ids, np.uint32) for e in _tokenizer(path).encode_batch(texts, add_special_tokens=False)]
         return np.concatenate(whole), np.append(0, np.cumsum([len(x) for x in whole]))
-    cuts = _cuts(raw, bounds)
+    cuts = _cuts(raw, bounds, _closing(path))
     start, end = cuts[:-1], cuts[1:]
     key = text.span_hash(text.prefix(raw), start, end)
     _, first, same = np.unique(key, return_index=True, return_inverse=True)
     rep = first[same]
     # The hash only proposes that two pieces are equal; the bytes decide, and a clash is encoded on its own.
     size = end - start
-    offset = np.repeat(start[rep] - start, size)
+    place = np.int32 if len(raw) < 1 << 30 else np.int64
+    other = np.repeat((start[rep] - start).astype(place), size)
+    other += np.arange(len(raw), dtype=place)
     odd = size != size[rep]
-    differs = raw != raw[np.minimum(np.arange(len(raw)) + offset, len(raw) - 1)]
+    differs = raw != raw[np.minimum(other, len(raw) - 1, out=other)]
     if differs.any():
         odd |= np.add.reduceat(differs, start) > 0
     extra = np.flatnonzero(odd)

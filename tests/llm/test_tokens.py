@@ -151,3 +151,17 @@ def test_bound_never_exceeds_the_best(sizes):
     bins, offsets, slack = packing.best_fit(np.array(sizes), 30)
     assert packing.lower_bound(np.array(sizes), 30) <= least <= len(slack)
     assert (np.bincount(bins, sizes) == 30 - slack).all()
+
+
+def test_a_word_is_learned_once_whatever_sign_follows():
+    words, signs = [f"{a}{b}" for a in ("bran", "Stol", "wick") for b in ("ash", "oten", "ém", "ux")], [",", ".", "!", "?)", ".'s", ";\"", "'s.", "<|"]
+    body = " ".join(w + s for w in words for s in signs) + " x<|endoftext|>. it's.'re,'ll ,a a.b,c .d .e"
+    raw = np.frombuffer(body.encode(), np.uint8)
+    ids, _ = tokens.encode(raw, np.array([0, len(raw)]), TOKENIZER)
+    assert ids.tolist() == tokens._tokenizer(TOKENIZER).encode(body, add_special_tokens=False).ids
+    tokens._known.cache_clear()
+    plain = " ".join(w + s for w in words for s in (",", ".", "!", "?)"))
+    raw = np.frombuffer(plain.encode(), np.uint8)
+    tokens.encode(raw, np.array([0, len(raw)]), TOKENIZER)
+    # Words that end in an ASCII letter and stand first or after a space, and the signs; 48 pieces before.
+    assert len(tokens._known(TOKENIZER, tokens.KNOWN_PIECES).place) <= len(words) + 1 + 4
